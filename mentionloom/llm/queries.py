@@ -11,12 +11,30 @@ from pyspark.sql import functions as F
 from .chat import format_turns, read_back
 from .common import documents, ensure_checkpoint_dir
 from .exact_dedup import duplicate_report
+from .language import language_report
+from .lm_scoring import backoff_scores
 from .mixing import mix_report
+from .near_dedup import NearRules, near_duplicates
 from .packing import pack
+from .pii import KINDS, by_kind, find_personal_data, spell
 from .repetition import repetition_report
 from .wavelet import read_shards, write_shards
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_personal_data(documents(spark, sf_dir))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, KINDS)
+    return rows.select("doc_id", *counts, F.sha2(spell(F.col("base")).cast("binary"), 256).alias("base_sha256"), spell(by_kind(F.concat("base", "found"))).alias("spans"))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), NearRules(shingle=3, percent=85))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -26,6 +44,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(documents(spark, sf_dir))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(documents(spark, sf_dir))
+
+
 def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/wavelet-{uuid.uuid4()}"
@@ -48,14 +70,23 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_report(documents(spark, sf_dir))
 
 
+def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = backoff_scores(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_pii,
+        op2_near_dedup,
         op3_packing,
         op4_exact_dedup,
+        op5_language,
         op6_wavelet_tokens,
         op7_chat_format,
         op8_mixing,
         op9_repetition,
+        op10_backoff_lm,
     )
 }

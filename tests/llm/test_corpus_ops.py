@@ -1,0 +1,366 @@
+"""PII, near dedup, language ID, mixing and LM scoring against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from mentionloom.llm import language, lm_scoring, mixing, near_dedup, pii
+from mentionloom.llm.components import connected_components
+from mentionloom.llm.queries import QUERIES
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+@pytest.fixture(scope="module")
+def docs(sf_dir):
+    return pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()
+
+
+# PII
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def plain_spans(text):
+    def digits(x):
+        return re.sub("[^0-9]", "", x)
+
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 13 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    }
+    return {k: [m.span() for m in re.finditer(p, text or "") if ok(m[0])] for k, (p, ok) in rules.items()}
+
+
+def spelled(spans):
+    return ",".join(f"{k}:{s}:{e}" for k in pii.KINDS for s, e in spans[k])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(list("aZ0194@.+-_% ()é\n") + ["4111111111111111", "a@b.c", "10.0.0.1"]), max_size=40))
+def test_base_spans_any_text(parts):
+    text = "".join(parts)
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_base_spans_are_linear():
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+" + "(" * 200_000, "@" * 200_000):
+        pii.base_spans(text)
+
+
+def test_pii_query(spark, sf_dir, docs):
+    rows = {x.doc_id: x for x in QUERIES["op1_pii"](spark, sf_dir).collect()}
+    assert len(rows) == len(docs)
+    for x in docs:
+        want, got = plain_spans(x["text"]), rows[x["doc_id"]]
+        assert [got.n_email, got.n_ip, got.n_card, got.n_phone] == [len(want[k]) for k in pii.KINDS]
+        assert got.base_sha256 == hashlib.sha256(spelled(want).encode()).hexdigest()
+        assert set(filter(None, spelled(want).split(","))) <= set(got.spans.split(","))
+
+
+def test_bootstrap_finds_unseen_identifiers(spark):
+    """Seeds teach the context; what follows it elsewhere is found, and what follows others is not."""
+    rows = [(i, f"some words here, write to bob{i}@mail.example.com or call later") for i in range(20)]
+    rows += [(100, "some words here, write to bob77(at)mail.example.com or call"), (101, "page 77 of the book, chapter 1234, write soon"), (102, "write to\nbob78(at)x")]
+    found = {x.doc_id: x for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    assert [(s.kind, text[100][s.start : s.end]) for s in found[100].found] == [("email", "bob77(at)mail.example.com")]
+    assert all(not x.found for d, x in found.items() if d != 100)
+    assert all(len(found[i].base) == 1 for i in range(20))
+    safe = {x.doc_id: x.text for x in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert safe[100] == "some words here, write to [EMAIL] or call"
+    assert safe[101] == text[101]
+
+
+def test_pii_odd_rows(odd_docs, no_docs):
+    assert Counter(x.doc_id for x in pii.find_personal_data(odd_docs).collect()) == Counter(x.doc_id for x in odd_docs.collect())
+    assert pii.find_personal_data(no_docs).count() == pii.redact(no_docs).count() == 0
+
+
+# near duplicates
+
+
+def sets_of(rows, size):
+    out = []
+    for doc, text in rows:
+        w = WORDS.findall(lower(text))
+        out.append((doc, {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())))
+    return out
+
+
+def brute_components(rows, size, percent):
+    sets = sets_of(rows, size)
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = defaultdict(list)
+    for i, (_, own) in enumerate(sets):
+        for g in own:
+            holders[g].append(i)
+    for i, (_, own) in enumerate(sets):
+        shared = Counter(j for g in own for j in holders[g] if j < i)
+        for j, both in shared.items():
+            if 100 * both >= percent * (len(own) + len(sets[j][1]) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (doc, own) in enumerate(sets):
+        least.setdefault(root(i), []).append(doc)
+    out = []
+    for i, (doc, own) in enumerate(sets):
+        ids = [x for x in least[root(i)] if x is not None]
+        component = (min(ids) if ids else None) if own else doc
+        out.append((doc, len(own), component, doc == component))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_dedup_query(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    rows = [(x["doc_id"], x["text"]) for x in pq.read_table(f"{folder}/documents.parquet").to_pylist()]
+    got = Counter(map(tuple, QUERIES["op2_near_dedup"](spark, folder).select("doc_id", "n_shingles", "component_id", "kept").collect()))
+    assert got == brute_components(rows, 3, 85)
+
+
+def test_near_dedup_large_group_in_chunks(spark):
+    """A group of near copies around the threshold, larger than a chunk: same components."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(0, 6), replace=False):
+            words[at] = f"x{rng.integers(0, 10**9)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(60)]
+    rules = near_dedup.NearRules(shingle=3, percent=85, chunk=37)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, near_dedup.near_duplicates(table, rules).collect())) == brute_components(rows, 3, 85)
+
+
+def test_near_dedup_odd_rows(odd_docs, no_docs):
+    rows = [(x.doc_id, x.text) for x in odd_docs.collect()]
+    got = Counter(map(tuple, near_dedup.near_duplicates(odd_docs).collect()))
+    assert got == brute_components(rows, 5, 80)
+    kept = near_dedup.near_dedup(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert Counter(x.doc_id for x in kept.collect()) == Counter([1, 2, 3, 4, 8, 9, 10, 11, None, 12])
+    assert near_dedup.near_duplicates(no_docs).count() == near_dedup.near_dedup(no_docs).count() == 0
+
+
+def test_sketches_merge_and_estimate():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    a, b = x[:2000], x[200:2200]
+    ra, rb = near_dedup.sketch(a, 256), near_dedup.sketch(b, 256)
+    assert (near_dedup.merge_sketches(ra, rb) == near_dedup.sketch(np.unique(np.concatenate([a, b])), 256)).all()
+    got = near_dedup.estimate(np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()]), 256, np.array([2000]), np.array([2000]))
+    assert abs(got[0] - 1800 / 2200) < 0.08
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 7)]
+    got = {(x.node, x.root) for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(i, 0) for i in range(61)} | {(500 + i, 500) for i in range(40)}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# language
+
+
+def test_language_query(spark):
+    folder = "/root/testdata/sf0.01"
+    truth = {x["doc_id"]: x["lang"] for x in pq.read_table(f"{folder}/documents.parquet").to_pylist()}
+    rows = QUERIES["op5_language"](spark, folder).collect()
+    assert len(rows) == len(truth)
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) and 0 <= x.score <= 1 for x in rows)
+    held = [x for x in rows if x.held_out]
+    assert sum(x.lang_pred == truth[x.doc_id] for x in held) >= 0.97 * len(held)
+
+
+def brute_profile(text):
+    letters = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+    grams = Counter(letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1))
+    del grams[" "]
+    return grams
+
+
+def test_classify_is_out_of_place_distance(docs):
+    by_lang = defaultdict(Counter)
+    for x in docs[:80]:
+        by_lang[x["lang"]] += brute_profile(x["text"])
+
+    def ranked(grams, n):
+        return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], sum(ord(c) << 21 * i for i, c in enumerate(reversed(x[0])))))][:n]
+
+    rules = language.ProfileRules(length=60)
+    profiles = {k: ranked(v, 60) for k, v in sorted(by_lang.items())}
+    keys = {g: sum(ord(c) << 21 * i for i, c in enumerate(reversed(g))) for v in profiles.values() for g in v}
+    grams = np.array(sorted(keys.values()), np.uint64)
+    places = np.full((len(profiles), len(grams)), -1, np.int64)
+    for i, v in enumerate(profiles.values()):
+        for k, g in enumerate(v):
+            places[i, np.searchsorted(grams, np.uint64(keys[g]))] = k
+    ours = language.Profiles(tuple(profiles), grams, places, rules)
+    for x in docs:
+        own = ranked(brute_profile(x["text"]), 60)
+        if not own:
+            continue
+        far = {k: sum(abs(v.index(g) - i) if g in v else 60 for i, g in enumerate(own)) for k, v in profiles.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        assert language.classify(x["text"], ours) == (best, pytest.approx(1 - far[best] / (60 * len(own))))
+
+
+def test_language_odd_rows(spark, odd_docs, no_docs):
+    got = {x.doc_id: x.lang_pred for x in language.language_report(odd_docs).collect()}
+    assert got[1] == got[2] == got[3] == "und"
+    kept = language.language_filter(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert {x.doc_id for x in kept.collect()} == {x.doc_id for x in odd_docs.collect()} - {1, 2, 3}
+    assert language.language_report(no_docs).count() == 0
+    untaught = odd_docs.withColumn("lang", odd_docs["lang"].substr(9, 1).cast("int").cast("string"))
+    assert {x.lang_pred for x in language.language_report(untaught.selectExpr("doc_id", "text", "nullif('x', 'x') AS lang")).collect()} == {"und"}
+
+
+# mixing
+
+
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, stopped = {}, set()
+    total = sum(sizes.values())
+    while True:
+        free = total - sum(most * sizes[s] for s in stopped)
+        rest = [s for s in order if s not in stopped]
+        target = {s: most * sizes[s] for s in stopped} | {s: free * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = {s for s in rest if target[s] > most * sizes[s] * (1 + 1e-12)}
+        if not over:
+            return target
+        stopped |= over
+
+
+def check_mix(rows):
+    sizes = defaultdict(int)
+    for x in rows:
+        sizes[x.source] += x.size
+    targets = brute_targets(sizes)
+    taken = Counter()
+    for x in rows:
+        assert x.source_size == sizes[x.source]
+        assert x.target == pytest.approx(targets[x.source], abs=1e-3)
+        assert 0 <= x.taken <= 3 * x.size
+        taken[x.source] += x.taken
+    assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
+
+
+def test_mix_query(spark, sf_dir, docs):
+    rows = QUERIES["op8_mixing"](spark, sf_dir).collect()
+    sizes = {x["doc_id"]: len(WORDS.findall(x["text"] or "")) for x in docs}
+    assert {x.doc_id: x.size for x in rows} == sizes
+    check_mix(rows)
+    assert Counter(rows) == Counter(QUERIES["op8_mixing"](spark, sf_dir).collect())
+
+
+def test_mix_is_spread_evenly(spark):
+    """Any stretch of the mix holds the sources in proportion to their targets."""
+    rows = [(i, "w " * 50, f"s{i % 3}") for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = mixing.mix_schedule(table, block_words=25).collect()
+    source = {i: s for i, _, s in rows}
+    slots = {x.slot: source[x.doc_id] for x in pieces}
+    order = [slots[k] for k in sorted(slots)]
+    share = Counter(order)
+    for start in range(0, len(order) - 256, 128):
+        part = Counter(order[start : start + 256])
+        assert all(abs(part[s] - 256 * share[s] / len(order)) <= 6 for s in share)
+
+
+def test_mix_odd_rows(odd_docs, no_docs):
+    check_mix(mixing.mix_report(odd_docs).collect())
+    assert mixing.mix_report(no_docs).count() == mixing.mixed_documents(no_docs).count() == 0
+
+
+def test_mixed_documents_take_what_the_report_says(odd_docs):
+    mixed = mixing.mixed_documents(odd_docs)
+    assert mixed.columns == odd_docs.columns
+    rows, report = mixed.collect(), mixing.mix_report(odd_docs).collect()
+    got, want = Counter(), Counter()
+    original = {x.doc_id: x.text for x in odd_docs.collect()}
+    for x in rows:
+        got[x.doc_id] += len(WORDS.findall(x.text))
+        assert original[x.doc_id].startswith(x.text)
+        assert x.n_chars == len(x.text) or x.text == original[x.doc_id]
+    for x in report:
+        want[x.doc_id] += x.taken
+    assert got == +want
+
+
+# language model
+
+
+def brute_scores(rows, order=3, alpha=0.4):
+    texts = [(doc, WORDS.findall(lower(text))) for doc, text in rows]
+    grams = [Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for _, w in texts]
+    total = sum(grams, Counter())
+    everything = sum(len(w) for _, w in texts)
+    out = []
+    for (doc, w), own in zip(texts, grams, strict=True):
+        outside, score = everything - len(w), 0.0
+        for i in range(len(w)):
+            cost = 0.0
+            for n in range(min(order, i + 1), 0, -1):
+                g = tuple(w[i - n + 1 : i + 1])
+                count = total[g] - own[g]
+                if n == 1:
+                    score += cost + (math.log(count / outside) if count else math.log(1 / (outside + 1)))
+                elif count:
+                    score += cost + math.log(count / (total[g[:-1]] - own[g[:-1]]))
+                    break
+                cost += math.log(alpha)
+        out.append((doc, len(w), round(score, 4) if w else None))
+    return Counter(out)
+
+
+def test_lm_query(spark, sf_dir, docs):
+    got = Counter((x.doc_id, x.n_words, None if x.log_score is None else round(x.log_score, 4)) for x in QUERIES["op10_backoff_lm"](spark, sf_dir).collect())
+    want = brute_scores([(x["doc_id"], x["text"]) for x in docs])
+    assert {k[:2] for k in got} == {k[:2] for k in want}
+    scores = {k[0]: k[2] for k in want}
+    assert all(k[2] == scores[k[0]] or abs(k[2] - scores[k[0]]) < 2e-3 for k in got)
+
+
+def test_lm_blocks_and_odd_rows(odd_docs, no_docs):
+    rows = [(x.doc_id, x.text) for x in odd_docs.collect()]
+    want = sorted(brute_scores(rows).elements(), key=repr)
+    for block_bytes, partition_grams in ((8 << 20, 4_000_000), (64, 100)):
+        rules = lm_scoring.BackoffRules(block_bytes=block_bytes, partition_grams=partition_grams)
+        got = sorted(((x.doc_id, x.n_words, None if x.log_score is None else round(x.log_score, 4)) for x in lm_scoring.backoff_scores(odd_docs, rules).collect()), key=repr)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert all(a[2] == b[2] or a[2] == pytest.approx(b[2], abs=2e-3) for a, b in zip(got, want, strict=True))
+    assert lm_scoring.backoff_scores(no_docs).count() == 0
