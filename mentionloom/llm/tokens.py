@@ -12,8 +12,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _BLANK = r" \t\n\r\x0b\x0c"
@@ -21,6 +20,9 @@ _BLANK = r" \t\n\r\x0b\x0c"
 _OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7f{_LETTER[6:]}]")
 #: White space besides the six plain ones; \x1c to \x1f count as unsure.
 _ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Pieces of more characters are not remembered.
+_LONG = 100
+_ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Letters with their leading blank, other signs likewise, white space. After an apostrophe all goes along up to the next blank, for contractions.
 _FINE_SPACED = re.compile(rf" ?[{_LETTER}]+(?:'[^{_BLANK}]*)?| ?[^{_BLANK}{_LETTER}]+(?:(?<=')[^{_BLANK}]*)?|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _FINE = re.compile(rf"[{_LETTER}]+(?:'[^{_BLANK}]*)?|[^{_BLANK}{_LETTER}]+(?:(?<=')[^{_BLANK}]*)?")
@@ -33,40 +35,57 @@ class PieceEncoder:
 
     path: a tokenizer file.  spaced: whether white space takes part in the ids
     (byte-level vocabularies) or is dropped; in the latter case the vocabulary
-    must lower-case its input.  width: bytes of an id.  memo: pieces remembered.
+    must lower-case its input.  width: bytes of an id.  memo: pieces
+    remembered, about; once full, it stays as it is.
     """
 
-    def __init__(self, path: str, spaced: bool, width: int = 4, memo: int = 400_000):
+    def __init__(self, path: str, spaced: bool, width: int = 4, memo: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # control strings inside a text are plain text
-        self._spaced, self._type, self._limit = spaced, f"<u{width}", memo
+        self._spaced, self._limit = spaced, memo
+        letter = {2: "H", 4: "I"}[width]
+        self._packers = [struct.Struct(f"<{n}{letter}").pack for n in range(64)]
+        self._letter = letter
         self._memo: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self._type).tobytes() for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        packers = self._packers
+        out = []
+        for encoding in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = encoding.ids
+            out.append(packers[len(ids)](*ids) if len(ids) < len(packers) else struct.pack(f"<{len(ids)}{self._letter}", *ids))
+        return out
 
     def _pieces(self, text: str) -> list[str]:
-        if text.isascii() and not _ODD_BLANK.search(text) or not _OTHER.search(text):
-            return _FINE_SPACED.findall(text) if self._spaced else _FINE.findall(text.lower())
-        if _ODD_BLANK.search(text):
-            return [text]
-        return (_COARSE_SPACED if self._spaced else _COARSE).findall(text)
+        if not (text.isascii() and not any(x in text for x in _ODD_ASCII)) and _OTHER.search(text):
+            if _ODD_BLANK.search(text):
+                return [text]
+            return (_COARSE_SPACED if self._spaced else _COARSE).findall(text)
+        return _FINE_SPACED.findall(text) if self._spaced else _FINE.findall(text.lower())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is the empty text."""
         memo = self._memo
         cut = [self._pieces(x) if x else [] for x in texts]
-        new = list({x for pieces in cut for x in pieces if x not in memo})
-        if len(memo) + len(new) > self._limit:
-            memo.clear()
-            new = list({x for pieces in cut for x in pieces})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            memo.update(zip(part, self._direct(part), strict=True))
-        return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
+        found = [list(map(memo.get, pieces)) for pieces in cut]
+        gaps = [i for i, ids in enumerate(found) if None in ids]
+        new: dict[str, bytes] = {}
+        for i in gaps:
+            for piece, ids in zip(cut[i], found[i], strict=True):
+                if ids is None:
+                    new[piece] = b""
+        missing = list(new)
+        for i in range(0, len(missing), 4096):
+            part = missing[i : i + 4096]
+            new.update(zip(part, self._direct(part), strict=True))
+        for i in gaps:
+            found[i] = [new[piece] if ids is None else ids for piece, ids in zip(cut[i], found[i], strict=True)]
+        if len(memo) < self._limit:
+            memo.update((k, v) for k, v in new.items() if len(k) <= _LONG)
+        return list(map(b"".join, found))
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
