@@ -50,7 +50,7 @@ def total_text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("n")).first()["n"]
 
 
-def slices(batch, column: str = "text", limit: int = 4 << 20):
+def slices(batch, column: str = "text", limit: int = 1 << 20):
     """Cut an Arrow batch into runs of rows whose texts hold about ``limit`` bytes (a longer text stands alone)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -67,6 +67,19 @@ def slices(batch, column: str = "text", limit: int = 4 << 20):
         start = stop
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers live on, and one executor's share it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass
+
+
 def utf8_buffer(column):
     """The bytes of a string column laid end to end and where each row begins (nulls are empty)."""
     import numpy as np

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import total_text_bytes, utf8_buffer
-from .wordblock import WordBlock, mix
+from .common import give_back, total_text_bytes, utf8_buffer
+from .wordblock import Words, mix, words_of
 
 
 @dataclass(frozen=True)
@@ -35,12 +35,15 @@ class BackoffRules:
     order: int = 3
     backoff: float = 0.4
     #: Text of one block, and n-grams of one partition of the count table, about.
-    block_bytes: int = 8 << 20
-    partition_grams: int = 4_000_000
+    block_bytes: int = 5 << 20
+    partition_grams: int = 2_000_000
 
 
+#: Bits of an n-gram's key.  Two of n distinct n-grams share a key with a chance of n / 2**56 for each.
+KEY_BITS = 56
+_CUT = np.uint64(64 - KEY_BITS)
 #: Key of the empty n-gram, whose count is the number of all words.
-_EMPTY = np.uint64(0x5851F42D4C957F2D)
+_EMPTY = np.uint64(0x5851F42D4C957F2D) >> _CUT
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -54,24 +57,24 @@ def _unpack(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
-def _grams(words: WordBlock, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grams(words: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order from 1: the first words of the n-grams, and their keys."""
     out, grams = [], words.words
     for n in range(1, order + 1):
         grams = words.extend(grams, n) if n > 1 else grams
         at = words.windows(n)
-        out.append((at, mix(grams[at] + np.uint64(n))))
+        out.append((at, mix(grams[at] + np.uint64(n)) >> _CUT))
     return out
 
 
-def _block_of(table: pa.Table) -> WordBlock:
+def _block_of(table: pa.Table) -> Words:
     column = table.column("text").combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    return WordBlock(*utf8_buffer(column), lower=True)
+    return words_of(*utf8_buffer(column), lower=True)
 
 
-def _distinct(words: WordBlock, grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(words: Words, grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.unique(np.concatenate([k for _, k in grams]), return_counts=True)
     at = int(np.searchsorted(keys, _EMPTY))
     return np.insert(keys, at, _EMPTY), np.insert(counts, at, len(words.words))
@@ -81,22 +84,39 @@ def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each partition's keys end; a key's partition is its first bits."""
     if not bits:
         return np.array([len(keys)])
-    return np.append(np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
-
-
-def _score(words: WordBlock, grams, totals, docs: int, rules: BackoffRules) -> np.ndarray:
-    """Sum of log scores of each text.  totals: of each order, aligned with grams, and of all words."""
-    by_order, everything = totals
-    n_words = len(words.words)
-    salt = mix(np.arange(1, docs + 1, dtype=np.uint64))
-    others = []
-    for (at, keys), total in zip(grams, by_order, strict=True):
-        _, place, own = np.unique(mix(keys ^ salt[words.doc[at]]), return_inverse=True, return_counts=True)
+    return np.append(np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(KEY_BITS - bits)), len(keys))
+
+
+def _score(words: Words, grams, totals: np.ndarray, everything: int, rules: BackoffRules) -> np.ndarray:
+    """Sum of log scores of each text.  totals: of the block's distinct keys in order; everything: number of all words."""
+    n_words, docs = len(words.words), len(words.counts)
+    if not n_words:
+        return np.zeros(docs)
+    keys = np.concatenate([k for _, k in grams])
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.append(True, ordered[1:] != ordered[:-1])
+    run = np.cumsum(first) - 1
+    total, own = np.empty(len(keys), np.int64), np.ones(len(keys), np.int64)
+    total[order] = totals[run]
+    # What a document itself holds: only n-grams that the block repeats need counting.
+    length = np.diff(np.append(np.flatnonzero(first), len(keys)))
+    repeated = length[run] > 1
+    at, doc = order[repeated], np.concatenate([words.doc[x] for x, _ in grams])
+    pair = run[repeated] * docs + doc[at]
+    inner = np.argsort(pair)
+    ordered = pair[inner]
+    if len(ordered):
+        first = np.append(True, ordered[1:] != ordered[:-1])
+        own[at[inner]] = np.diff(np.append(np.flatnonzero(first), len(ordered)))[np.cumsum(first) - 1]
+    others, low = [], 0
+    for at, _ in grams:
         spread = np.full(n_words, -1, np.int64)
-        spread[at] = total - own[place]
+        spread[at] = (total - own)[low : low + len(at)]
+        low += len(at)
         others.append(spread)
-    outside = everything - words.counts[words.doc] if n_words else np.zeros(0, np.int64)
-    result = np.log(np.where(others[0] > 0, others[0], 1) / np.where(others[0] > 0, outside, outside + 1)) if n_words else np.zeros(0)
+    outside = everything - words.counts[words.doc]
+    result = np.log(np.where(others[0] > 0, others[0], 1) / np.where(others[0] > 0, outside, outside + 1))
     for n in range(2, rules.order + 1):
         if n_words < n:
             break
@@ -105,7 +125,7 @@ def _score(words: WordBlock, grams, totals, docs: int, rules: BackoffRules) -> n
         longer = np.log(np.where(known, gram, 1) / np.where(known, context, 1))
         tail = result[n - 1 :]
         result[n - 1 :] = np.where(known, longer, np.where(possible, tail + np.log(rules.backoff), tail))
-    return np.bincount(words.doc, weights=result, minlength=docs) if n_words else np.zeros(docs)
+    return np.bincount(words.doc, weights=result, minlength=docs)
 
 
 def backoff_scores(docs: DataFrame, rules: BackoffRules = BackoffRules()) -> DataFrame:
@@ -139,7 +159,7 @@ def backoff_scores(docs: DataFrame, rules: BackoffRules = BackoffRules()) -> Dat
         sizes = table.column("n").to_pylist()
         keys = np.concatenate([np.cumsum(_unpack(x.as_buffer(), n, "<u8"), dtype=np.uint64) for x, n in zip(table.column("keys"), sizes, strict=True)])
         counts = np.concatenate([_unpack(x.as_buffer(), n, "<u4") for x, n in zip(table.column("counts"), sizes, strict=True)])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         ordered = keys[order]
         first = np.append(True, ordered[1:] != ordered[:-1])
         sums = np.add.reduceat(counts[order].astype(np.uint64), np.flatnonzero(first))
@@ -152,14 +172,17 @@ def backoff_scores(docs: DataFrame, rules: BackoffRules = BackoffRules()) -> Dat
         names = ["doc_id", "n_words", "log_score", "mean_log_score"]
         words = _block_of(left)
         grams = _grams(words, rules.order)
-        keys, _ = _distinct(words, grams)
         found = sorted(zip(right.column("part").to_pylist(), right.column("n").to_pylist(), right.column("totals"), strict=True), key=lambda x: x[0])
         totals = np.concatenate([_unpack(x.as_buffer(), n, "<u8") for _, n, x in found]).astype(np.int64)
-        if len(totals) != len(keys):
+        # The answers come in the order of the keys, so the empty n-gram's place is known from those below it.
+        keys = np.unique(np.concatenate([k for _, k in grams]))
+        empty = int(np.searchsorted(keys, _EMPTY))
+        if len(totals) != len(keys) + 1:
             raise ValueError("answers don't match the block")
-        by_order = [totals[np.searchsorted(keys, k)] for _, k in grams]
-        sums = _score(words, grams, (by_order, int(totals[np.searchsorted(keys, _EMPTY)])), left.num_rows, rules)
+        everything = int(totals[empty])
+        sums = _score(words, grams, np.delete(totals, empty), everything, rules)
         none = words.counts == 0
+        give_back()
         mean = sums / np.maximum(words.counts, 1)
         return pa.table([left.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(sums, mask=none), pa.array(mean, mask=none)], names)
 

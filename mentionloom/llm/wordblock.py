@@ -24,8 +24,8 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE**i and _BASE**-i for i up to n; only the largest pair is kept."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
+    size = max(1 << 16, -(-int(n) >> 19) << 19)
+    if not _powers or next(iter(_powers)) < size:
         both = []
         for base in (_BASE, _INVERSE):
             x = np.full(size, base, np.uint64)
@@ -33,7 +33,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             both.append(np.cumprod(x, dtype=np.uint64))
         _powers.clear()
         _powers[size] = tuple(both)
-    return _powers[size]
+    return next(iter(_powers.values()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +46,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordBlock:
+class Words:
+    """Word hashes of a run of texts.
+
+    words: the hashes in order; doc: the text of each word; counts: words of each
+    text; those of text i are word_offsets[i] to word_offsets[i + 1].
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.counts = words, counts
+        self.word_offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+
+    def per_doc(self, by_word: np.ndarray) -> np.ndarray:
+        """Sum a value of each word over each text."""
+        total = np.zeros(len(by_word) + 1, np.int64)
+        np.cumsum(by_word, out=total[1:])
+        return np.diff(total[self.word_offsets])
+
+    def windows(self, n: int) -> np.ndarray:
+        """The first words of the windows of n words that lie inside one text."""
+        if len(self.doc) < n:
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(self.doc[: len(self.doc) - n + 1] == self.doc[n - 1 :])
+
+    def extend(self, grams: np.ndarray, n: int) -> np.ndarray:
+        """From the rolled hashes of all windows of n - 1 words to those of n; windows may cross texts."""
+        return grams[: max(0, len(self.words) - n + 1)] * _GRAM + self.words[n - 1 :]
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, limit: int = 1 << 20) -> Words:
+    """The words alone, worked out over about ``limit`` bytes at a time (a longer text stands alone)."""
+    words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    start = 0
+    while start < len(offsets) - 1:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1)
+        block = WordBlock(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start], lower)
+        words.append(block.words)
+        counts.append(block.counts)
+        start = stop
+    return Words(np.concatenate(words), np.concatenate(counts))
+
+
+class WordBlock(Words):
     """data: bytes of the texts end to end; offsets: where each begins, and the end."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
@@ -62,14 +104,10 @@ class WordBlock:
         last[:-1] &= ~inside[1:] | edge[1:n]
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
-        #: Words of text i are word_offsets[i] to word_offsets[i + 1].
-        self.word_offsets = np.searchsorted(self.starts, offsets)
-        self.counts = np.diff(self.word_offsets)
-        self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
         power, self._inverse = _tables(n + 1)
         self._prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(_WEIGHT[data] * power[:n], out=self._prefix[1:])
-        self.words = self.span_hash(self.starts, self.ends)
+        super().__init__(self.span_hash(self.starts, self.ends), np.diff(np.searchsorted(self.starts, offsets)))
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         rolled = (self._prefix[ends] - self._prefix[starts]) * self._inverse[starts]
@@ -80,19 +118,3 @@ class WordBlock:
         seen = np.zeros(len(self.data) + 1, np.int64)
         np.cumsum((self.data & 0xC0) != 0x80, out=seen[1:])
         return seen
-
-    def per_doc(self, by_word: np.ndarray) -> np.ndarray:
-        """Sum a value of each word over each text."""
-        total = np.zeros(len(by_word) + 1, np.int64)
-        np.cumsum(by_word, out=total[1:])
-        return np.diff(total[self.word_offsets])
-
-    def windows(self, n: int) -> np.ndarray:
-        """The first words of the windows of n words that lie inside one text."""
-        if len(self.doc) < n:
-            return np.zeros(0, np.int64)
-        return np.flatnonzero(self.doc[: len(self.doc) - n + 1] == self.doc[n - 1 :])
-
-    def extend(self, grams: np.ndarray, n: int) -> np.ndarray:
-        """From the rolled hashes of all windows of n - 1 words to those of n; windows may cross texts."""
-        return grams[: max(0, len(self.words) - n + 1)] * _GRAM + self.words[n - 1 :]
