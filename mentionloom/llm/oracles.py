@@ -66,8 +66,48 @@ WITH _d AS (SELECT * FROM documents), {MIX_STEPS}
 SELECT doc_id, source, size, source_size, round(target, 4) AS target, (full_copies * size + cut_words)::BIGINT AS taken FROM _mixed
 """
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_GRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+_CHARS = ", ".join(f"coalesce(max(chars) FILTER (n = {n}), 0)::BIGINT AS gram{n}_chars" for n in _GRAMS)
+_OVER = " OR ".join(f"gram{n}_chars / greatest(word_chars, 1) > {most}" for n, most in _GRAMS.items())
+_SHOWN = ", ".join(f"coalesce(gram{n}_chars, 0)::BIGINT AS gram{n}_chars" for n in _GRAMS)
+
+REPETITION = f"""
+WITH w AS (
+    SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents
+), g AS (
+    SELECT doc_id, n, i, array_to_string(words[i + 1 : i + n], ' ') AS gram
+    FROM (SELECT doc_id, words, n, unnest(range(0, len(words) - n + 1)) AS i FROM w, (VALUES {", ".join(f"({n})" for n in _GRAMS)}) v(n))
+), r AS (
+    SELECT doc_id, n, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, n, gram) > 1
+), c AS (
+    SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS j FROM r
+), l AS (
+    SELECT c.doc_id, n, count(*) AS covered, sum(length(words[j + 1])) AS chars FROM c JOIN w USING (doc_id) GROUP BY ALL
+), p AS (
+    SELECT doc_id, coalesce(max(covered) FILTER (n = 5), 0)::BIGINT AS n_repeat_words, {_CHARS} FROM l GROUP BY doc_id
+), s AS (
+    SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS k,
+           list_sum(list_transform(regexp_extract_all(line, {_WORD}), lambda x: length(x))) AS chars
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, {_WORD})
+), q AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_dup_lines, coalesce(sum(chars) FILTER (k > 1), 0)::BIGINT AS dup_line_chars
+    FROM s GROUP BY doc_id
+), b AS (
+    SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines,
+           coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars,
+           coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, {_SHOWN}
+    FROM w LEFT JOIN p ON p.doc_id = w.doc_id LEFT JOIN q ON q.doc_id = w.doc_id
+), f AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b
+)
+SELECT *, NOT base_failed AND NOT (n_dup_lines > 0.3 * n_lines OR dup_line_chars > 0.2 * word_chars OR {_OVER}) AS kept FROM f
+"""
+
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": EXACT_DEDUP,
     "op7_chat_format": CHAT,
     "op8_mixing": MIXING,
+    "op9_repetition": REPETITION,
 }
