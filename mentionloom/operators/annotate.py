@@ -32,7 +32,7 @@ def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def capital_labels(rows: DataFrame) -> DataFrame:
     """Label capitalised words inside a sentence MISC, others O."""
-    return rows.withColumn("label", F.when(F.col("text").rlike(r"^\p{Lu}\p{L}") & (F.col("pos") > 0), "MISC").otherwise("O"))
+    return rows.withColumn("label", F.when(F.col("text").rlike(r"^\p{Lu}[\p{L}']") & (F.col("pos") > 0), "MISC").otherwise("O"))
 
 
 def merge_runs(rows: DataFrame, key: list[str] | None = None, order: str = "pos", label: str = "label") -> DataFrame:
