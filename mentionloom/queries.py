@@ -700,9 +700,9 @@ def ppr_three_steps(spark, sf):
     return out.select("node", rounded("p").alias("p"))
 
 
-@query(_walk_sql("SELECT nation, node, node / sum(node) OVER (PARTITION BY nation) AS p FROM seeds", "nation"))
+@query(_walk_sql("SELECT nation, node, (node + 1) / sum(node + 1) OVER (PARTITION BY nation) AS p FROM seeds", "nation"))
 def ppr_document(spark, sf):
-    seeds = suppliers(spark, sf).withColumn("weight", F.col("node").cast("double"))
+    seeds = suppliers(spark, sf).withColumn("weight", (F.col("node") + 1).cast("double"))
     out = walks.walk(supply_arcs(spark, sf), walks.weighted_preference(seeds, ["nation"]), walker=["nation"])
     return out.select("nation", "node", rounded("p").alias("p"))
 
