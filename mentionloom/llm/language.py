@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 
 UNDETERMINED = "und"
 _SHIFT = np.uint64(21)
@@ -77,13 +77,14 @@ def learn_profiles(labelled: DataFrame, rules: ProfileRules = ProfileRules()) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, limit=2 << 20):
+            for rows in slices(batch):
                 by_lang: dict[str, list[np.ndarray]] = {}
                 for text, lang in zip(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), strict=True):
                     by_lang.setdefault(lang, []).append(_grams(_letters_of(text), longest))
                 for lang, keys in by_lang.items():
                     gram, times = np.unique(np.concatenate(keys), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(times.astype(np.int64))], ["lang", "gram", "times"])
+        give_back()
 
     partial = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(count, "lang string, gram long, times long")
     counts = partial.groupBy("lang", "gram").agg(F.sum("times").alias("times"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices, utf8_buffer
+from .common import durable, give_back, slices, utf8_buffer
 from .components import connected_components
 from .wordblock import WordBlock, mix
 
@@ -45,7 +45,7 @@ class NearRules:
     rows: int = 8
     base: float = 1.1
     #: Classes of a bucket that one task compares at once; twice as many meet in a block.
-    chunk: int = 1024
+    chunk: int = 512
 
     @property
     def registers(self) -> int:
@@ -132,6 +132,7 @@ def _sketched(docs: DataFrame, rules: NearRules) -> DataFrame:
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     registers.append(sketch(own, rules.registers, rules.base).tobytes() if len(own) else None)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "n", "set", "registers"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, set binary, registers binary")
@@ -146,6 +147,7 @@ def _sets(docs: DataFrame, rules: NearRules) -> DataFrame:
                 block = WordBlock(*utf8_buffer(rows.column("text")), lower=True)
                 found = [x for x in shingle_sets(block, rules.shingle) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["set", "members"])
+        give_back()
 
     return docs.select("text").mapInArrow(run, "set binary, members binary")
 
@@ -229,6 +231,7 @@ def _flagged(blocks: DataFrame, rules: NearRules) -> DataFrame:
             i, j, _ = _likely_pairs(rows, rules)
             if len(i):
                 yield from rows.take(pa.array(np.unique(np.concatenate([i, j])))).select(names).to_batches()
+        give_back()
 
     return _in_blocks(blocks).mapInArrow(run, "bucket long, low int, high int, chunk int, band int, set binary")
 
@@ -251,7 +254,8 @@ def _links(blocks: DataFrame, rules: NearRules) -> DataFrame:
                 return x
 
             out: tuple[list[bytes], list[bytes]] = ([], [])
-            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            pairs = (x for k in range(0, len(order), 1 << 14) for x in zip(i[order[k : k + (1 << 14)]].tolist(), j[order[k : k + (1 << 14)]].tolist(), strict=True))
+            for a, b in pairs:
                 ra, rb = root(a), root(b)
                 if ra == rb:
                     continue
@@ -263,6 +267,7 @@ def _links(blocks: DataFrame, rules: NearRules) -> DataFrame:
                     out[0].append(digests[a])
                     out[1].append(digests[b])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["u", "v"])
+        give_back()
 
     return _in_blocks(blocks).mapInArrow(run, "u binary, v binary")
 

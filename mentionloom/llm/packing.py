@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import give_back, slices
 from .tokens import encoder, vocabulary
 
 WINDOW = 2048
 OPEN = 64
 END = 1
 WIDTH = 4
+#: Token pieces that a worker remembers.
+MEMO = 400_000
 
 Piece = tuple[int, int, int, bytes]  # doc_id, start, tokens of the document, ids
 
@@ -115,7 +117,7 @@ def pack(docs: DataFrame, path: str | None = None, end: int = END, window: int =
     close = end.to_bytes(WIDTH, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, packer = encoder(path, spaced=True, width=WIDTH), WindowPacker(window, open_windows)
+        texts, packer = encoder(path, spaced=True, width=WIDTH, memo=MEMO), WindowPacker(window, open_windows)
         first = TaskContext.get().partitionId() << 33
 
         def drain() -> pa.RecordBatch:
@@ -126,11 +128,12 @@ def pack(docs: DataFrame, path: str | None = None, end: int = END, window: int =
         doc_type = pa.int64()
         for batch in batches:
             doc_type = batch.schema.field(0).type
-            for rows in slices(batch, limit=2 << 20):
+            for rows in slices(batch):
                 for doc, ids in zip(rows.column(0).to_pylist(), texts.encode(rows.column("text").to_pylist()), strict=True):
                     packer.add(doc, ids + close)
                 yield drain()
         packer.finish()
         yield drain()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
