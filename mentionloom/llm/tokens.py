@@ -13,6 +13,9 @@ from __future__ import annotations
 import os
 import re
 import struct
+from itertools import repeat
+
+import numpy as np
 
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _BLANK = r" \t\n\r\x0b\x0c"
@@ -22,10 +25,17 @@ _OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7f{_LETTER[6:]}]")
 _ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Pieces of more characters are not remembered.
 _LONG = 100
+_SIMPLE = re.compile(rf"[{_LETTER}]+")
+_SIMPLE_SPACED = re.compile(rf" [{_LETTER}]+")
+#: Simple pieces that are encoded in one call.
+_TOGETHER = 256
 _ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Letters with their leading blank, other signs likewise, white space. After an apostrophe all goes along up to the next blank, for contractions.
 _FINE_SPACED = re.compile(rf" ?[{_LETTER}]+(?:'[^{_BLANK}]*)?| ?[^{_BLANK}{_LETTER}]+(?:(?<=')[^{_BLANK}]*)?|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _FINE = re.compile(rf"[{_LETTER}]+(?:'[^{_BLANK}]*)?|[^{_BLANK}{_LETTER}]+(?:(?<=')[^{_BLANK}]*)?")
+#: The same for texts without an apostrophe.
+_PLAIN = re.compile(rf"[{_LETTER}]+|[^{_BLANK}{_LETTER}]+")
+_PLAIN_SPACED = re.compile(rf" ?[{_LETTER}]+| ?[^{_BLANK}{_LETTER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _COARSE_SPACED = re.compile(rf"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 _COARSE = re.compile(rf"[^{_BLANK}]+")
 
@@ -39,7 +49,7 @@ class PieceEncoder:
     remembered, about; once full, it stays as it is.
     """
 
-    def __init__(self, path: str, spaced: bool, width: int = 4, memo: int = 1_200_000):
+    def __init__(self, path: str, spaced: bool, width: int = 4, memo: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,6 +60,27 @@ class PieceEncoder:
         self._packers = [struct.Struct(f"<{n}{letter}").pack for n in range(64)]
         self._letter = letter
         self._memo: dict[str, bytes] = {}
+        # Where one piece of letters ends and the next begins shows in the ids alone: with white space in the ids, its
+        # first token has the blank; without, its last token has the mark of a word's end.
+        vocab = self._tokenizer.get_vocab()
+        self._edge = np.zeros(max(vocab.values()) + 1, bool)
+        self._edge[[i for token, i in vocab.items() if (token.startswith("Ġ") if spaced else token.endswith("</w>"))]] = True
+
+    def _simple(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces of letters, many in one call."""
+        out: dict[str, bytes] = {}
+        chunks = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
+        joined = [("" if self._spaced else " ").join(x) for x in chunks]
+        width = 2 if self._letter == "H" else 4
+        for chunk, encoding in zip(chunks, self._tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, np.uint32)
+            at = np.flatnonzero(self._edge[ids])
+            cuts = (np.append(at, len(ids)) if self._spaced else np.append(0, at + 1)) * width
+            if len(cuts) != len(chunk) + 1:
+                raise ValueError("pieces don't show in the ids")
+            raw, cuts = ids.astype(f"<u{width}").tobytes(), cuts.tolist()
+            out.update(zip(chunk, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        return out
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         packers = self._packers
@@ -64,25 +95,34 @@ class PieceEncoder:
             if _ODD_BLANK.search(text):
                 return [text]
             return (_COARSE_SPACED if self._spaced else _COARSE).findall(text)
-        return _FINE_SPACED.findall(text) if self._spaced else _FINE.findall(text.lower())
+        if self._spaced:
+            return (_FINE_SPACED if "'" in text else _PLAIN_SPACED).findall(text)
+        return (_FINE if "'" in text else _PLAIN).findall(text.lower())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is the empty text."""
         memo = self._memo
         cut = [self._pieces(x) if x else [] for x in texts]
-        found = [list(map(memo.get, pieces)) for pieces in cut]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
-        new: dict[str, bytes] = {}
-        for i in gaps:
-            for piece, ids in zip(cut[i], found[i], strict=True):
-                if ids is None:
-                    new[piece] = b""
-        missing = list(new)
+        found = [list(map(memo.get, pieces, repeat(b""))) for pieces in cut]
+        # Gaps are found by list.index, so pieces that are known cost no Python step.
+        gaps: list[tuple[list, str, int]] = []
+        for pieces, ids in zip(cut, found, strict=True):
+            at = -1
+            try:
+                while True:
+                    at = ids.index(b"", at + 1)
+                    gaps.append((ids, pieces[at], at))
+            except ValueError:
+                pass
+        new: dict[str, bytes] = dict.fromkeys([piece for _, piece, _ in gaps], b"")
+        simple = (_SIMPLE_SPACED if self._spaced else _SIMPLE).fullmatch
+        new |= self._simple([x for x in new if len(x) <= _LONG and simple(x)])
+        missing = [x for x, ids in new.items() if not ids]
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             new.update(zip(part, self._direct(part), strict=True))
-        for i in gaps:
-            found[i] = [new[piece] if ids is None else ids for piece, ids in zip(cut[i], found[i], strict=True)]
+        for ids, piece, at in gaps:
+            ids[at] = new[piece]
         if len(memo) < self._limit:
             memo.update((k, v) for k, v in new.items() if len(k) <= _LONG)
         return list(map(b"".join, found))
@@ -91,11 +131,11 @@ class PieceEncoder:
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, spaced: bool, width: int = 4) -> PieceEncoder:
+def encoder(path: str, spaced: bool, width: int = 4, memo: int = 800_000) -> PieceEncoder:
     """One encoder a worker process and vocabulary."""
-    key = (path, spaced, width)
+    key = (path, spaced, width, memo)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, spaced, width)
+        _encoders[key] = PieceEncoder(path, spaced, width, memo)
     return _encoders[key]
 
 

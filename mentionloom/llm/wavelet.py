@@ -6,15 +6,14 @@ ones counted before every block of bits (rank), single ids, the count of an id i
 any range and the place of its k-th occurrence (select) come from a walk over the
 planes, without decoding the rest.
 
-File: the magic, a header of little-endian numbers, then sections, each deflated
-for itself: document ids, document lengths, and per plane its bits and block
-counts.  A section is inflated when it is first needed.
+File: the magic, a header of little-endian numbers, then sections, each compressed
+for itself, after its length: document ids, document lengths, and per plane its bits and block
+counts.  A section is opened when it is first needed.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +23,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, give_back, slices
 from .tokens import encoder, vocabulary
 
 MAGIC = b"WMX1"
+#: Compresses every section.
+CODEC = "zstd"
 #: Bits between two counts of ones.
 BLOCK = 512
 #: Ids of one shard, about: a document is never split.
 SHARD_TOKENS = 4_000_000
 END = 2
+#: Token pieces that a worker remembers.
+MEMO = 1_200_000
 #: Stands for a null doc_id inside a shard.
 NO_ID = -(2**63)
 #: Shards whose start positions are broadcast at most; beyond, they are joined by shuffle.
@@ -57,22 +60,28 @@ class WaveletMatrix:
         self._open: dict[int, np.ndarray] = {}
 
     @staticmethod
-    def encode(ids: np.ndarray, doc_ids: np.ndarray, doc_lengths: np.ndarray, level: int = 1) -> bytes:
-        ids = np.ascontiguousarray(ids)
+    def encode(ids: np.ndarray, doc_ids: np.ndarray, doc_lengths: np.ndarray) -> bytes:
+        ids = np.array(ids)  # a copy, for the partings go to and fro between two arrays
+        spare = np.empty_like(ids)
         planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         sections = [np.asarray(doc_ids, "<i8").tobytes(), np.asarray(doc_lengths, "<u8").tobytes()]
         for shift in range(planes - 1, -1, -1):
-            ones = ((ids >> ids.dtype.type(shift)) & ids.dtype.type(1)).astype(bool)
-            packed = np.packbits(np.concatenate([ones, np.zeros(-len(ones) % BLOCK, bool)]))
+            ones = (ids & ids.dtype.type(1 << shift)) != 0
+            packed = np.zeros(-(-len(ones) // BLOCK) * BLOCK // 8, np.uint8)
+            packed[: -(-len(ones) // 8)] = np.packbits(ones)
             counts = _POPCOUNT[packed].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint64)
             sections += [packed.tobytes(), np.concatenate([[0], np.cumsum(counts)]).astype("<u8").tobytes()]
-            ids = np.concatenate([ids[~ones], ids[ones]])
-        deflated = [zlib.compress(x, level) for x in sections]
+            zeros = len(ids) - np.count_nonzero(ones)
+            np.compress(~ones, ids, out=spare[:zeros])
+            np.compress(ones, ids, out=spare[zeros:])
+            ids, spare = spare, ids
+        deflated = [struct.pack("<Q", len(x)) + pa.compress(x, codec=CODEC, asbytes=True) for x in sections]
         return MAGIC + struct.pack("<QQI", len(ids), len(doc_ids), planes) + struct.pack(f"<{len(deflated)}Q", *map(len, deflated)) + b"".join(deflated)
 
     def _section(self, i: int, kind: str) -> np.ndarray:
         if i not in self._open:
-            self._open[i] = np.frombuffer(zlib.decompress(self._raw[i]), kind)
+            raw = self._raw[i]
+            self._open[i] = np.frombuffer(pa.decompress(raw[8:], decompressed_size=struct.unpack_from("<Q", raw)[0], codec=CODEC, asbytes=True), kind)
         return self._open[i]
 
     @property
@@ -155,18 +164,16 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order."""
-        order = None
-        rows = []
-        for plane in range(self.planes):
-            ones = np.unpackbits(self._bits(plane), count=self.n).view(bool)
-            rows.append(ones)
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         # Undo the partings from the last plane to the first.
         for plane in range(self.planes - 1, -1, -1):
-            ones = rows[plane]
-            zeros = self.n - int(ones.sum())
-            out = np.empty(self.n, np.uint32)
-            out[~ones], out[ones] = values[:zeros], values[zeros:] | np.uint32(1 << (self.planes - 1 - plane))
+            ones = np.unpackbits(self._bits(plane), count=self.n).view(bool)
+            high = np.flatnonzero(ones)
+            zeros = self.n - len(high)
+            out = np.empty(self.n, kind)
+            out[np.flatnonzero(~ones)] = values[:zeros]
+            out[high] = values[zeros:] | kind(1 << (self.planes - 1 - plane))
             values = out
         return values
 
@@ -175,7 +182,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
     """Encode the documents and write shards in ascending doc_id order; returns what was written.
 
     folder: a URI that driver and executors share.  Rows are dealt out by ranges
-    of doc_id; a shard's name has its range and number, so names sort like the
+    of doc_id; a shard's name has its range, number and tokens, so names sort like the
     documents, and a task that runs again writes the same files (by rename).  A
     null text is empty; every document ends with ``end``.  Rows that share a
     doc_id follow each other, by text; null doc_ids come first.  The result
@@ -185,7 +192,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
     close = end.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, part = encoder(path, spaced=False, width=2), TaskContext.get().partitionId()
+        texts, part = encoder(path, spaced=False, width=2, memo=MEMO), TaskContext.get().partitionId()
         attempt = TaskContext.get().taskAttemptId()
         store, base = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
@@ -195,7 +202,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
 
         def flush() -> pa.RecordBatch:
             nonlocal held, number
-            file = f"{base}/shard-{part:08d}-{number:06d}.wmx"
+            file = f"{base}/shard-{part:08d}-{number:06d}-{held}.wmx"
             data = WaveletMatrix.encode(np.frombuffer(b"".join(ids), "<u2"), np.array(names, np.int64), np.array([len(x) // 2 for x in ids]))
             with store.open_output_stream(f"{file}.{attempt}.part") as out:
                 out.write(data)
@@ -207,7 +214,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
             return row
 
         for batch in batches:
-            for rows in slices(batch, limit=2 << 20):
+            for rows in slices(batch):
                 for doc, own in zip(rows.column(0).to_pylist(), texts.encode(rows.column("text").to_pylist()), strict=True):
                     ids.append(own + close)
                     names.append(doc)
@@ -216,6 +223,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
                         yield flush()
         if ids:
             yield flush()
+        give_back()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return rows.mapInArrow(run, "file string, docs long, tokens long, bytes long")
@@ -231,6 +239,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = WaveletMatrix(data.as_buffer().to_pybytes())
+                if f"-{shard.n}.wmx" not in name:
+                    raise ValueError(f"{name} doesn't hold what its name says")
                 lengths = shard.doc_lengths
                 ends = np.cumsum(lengths)
                 words = shard.decode().astype("<u4")
@@ -242,14 +252,11 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                     n = len(blob)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(shard.doc_ids[i : i + step]), pa.array((ends - lengths)[i : i + step]), pa.array(lengths[i : i + step]), blob], ["file", "doc_id", "inside", "n_tokens", "ids"])
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [struct.unpack_from("<Q", x.as_buffer().to_pybytes()[:24], 4)[0] for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["file", "tokens"])
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wmx").load(folder)
     named = files.select(F.substring_index("path", "/", -1).alias("file"), "content")
-    totals = durable(named.mapInArrow(heads, "file string, tokens long").withColumn("part", F.substring("file", 7, 8)))
+    # A shard's name tells its range, number and tokens; only names are read for the start positions.
+    tokens = F.regexp_extract("file", r"-([0-9]+)\.wmx$", 1).cast("long")
+    totals = durable(named.select("file", tokens.alias("tokens"), F.substring("file", 7, 8).alias("part")))
     parts = totals.groupBy("part").agg(F.sum("tokens").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
     inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("own", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(parts, "part").select("file", (F.col("base") + F.col("own")).alias("before"))
