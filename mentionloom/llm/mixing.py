@@ -70,7 +70,8 @@ def _before(df: DataFrame, key: list[Column], bucket: str, order: list[Column],
     sums = sums.select(*names, bucket, F.coalesce(F.sum("__sum").over(level), F.lit(0)).alias("__base"))
     inside = Window.partitionBy(*names, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
-    return df.join(sums, [*names, bucket]).withColumn(out, F.col("__base") + F.col("__inside")).drop(*names, "__value", "__inside", "__base")
+    # What comes out of explode has no size that the planner knows, so joins below say that both sides may be large.
+    return df.join(sums.hint("merge"), [*names, bucket]).withColumn(out, F.col("__base") + F.col("__inside")).drop(*names, "__value", "__inside", "__base")
 
 
 def _mix_tables(docs: DataFrame, weights, max_repeats, uid: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -113,7 +114,7 @@ def _pieces(line: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
     end = F.col("line_start") + F.col("size")
     cut = line.withColumn("block", F.explode(F.sequence(F.floor(F.col("line_start") / block_words), F.floor((end - 1) / block_words))))
     slots = _slots(targets, block_words)
-    met = cut.join(slots, ["skey", "block"])
+    met = cut.join(slots.hint("merge"), ["skey", "block"])
     begin = F.greatest("line_start", F.col("block") * block_words)
     length = F.least(end, (F.col("block") + 1) * block_words, "limit") - begin
     return met.select("uid", "doc_id", "slot", "epoch", (begin - F.col("line_start")).alias("first_word"), length.alias("words")).filter("words > 0")
@@ -138,7 +139,7 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
     """One row a row of ``docs``: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
     thin, targets, line = _mix_tables(docs, weights, max_repeats, F.monotonically_increasing_id())
     taken = _pieces(line, targets, block_words).groupBy("uid").agg(F.sum("words").alias("taken"))
-    rows = thin.join(targets.select("skey", "source_size", "target"), "skey").join(taken, "uid", "left")
+    rows = thin.join(targets.select("skey", "source_size", "target"), "skey").join(taken.hint("merge"), "uid", "left")
     return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -161,7 +162,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
         epochs = epochs.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.col("size")))))
         epochs = epochs.withColumn("words", F.least("size", F.col("words") - F.col("n") * F.col("size")))
     epochs = epochs.select(F.col("uid").alias("__uid"), F.col("doc_id").alias("__id"), F.col("words").cast("long").alias("__words"))
-    rows = docs.withColumn("__uid", finger).join(epochs, "__uid").filter(F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows = docs.withColumn("__uid", finger).join(epochs.hint("merge"), "__uid").filter(F.col("doc_id").eqNullSafe(F.col("__id")))
     parts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     led = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
     cut = F.array_join(F.slice(parts, F.lit(1), (F.col("__words") + led).cast("int")), "")
