@@ -73,6 +73,9 @@ def give_back() -> None:
 
     import pyarrow as pa
 
+    from .wordblock import forget_tables
+
+    forget_tables()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

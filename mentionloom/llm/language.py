@@ -77,7 +77,7 @@ def learn_profiles(labelled: DataFrame, rules: ProfileRules = ProfileRules()) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=1 << 19):
                 by_lang: dict[str, list[np.ndarray]] = {}
                 for text, lang in zip(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), strict=True):
                     by_lang.setdefault(lang, []).append(_grams(_letters_of(text), longest))
@@ -158,7 +158,9 @@ def language_filter(docs: DataFrame, rules: ProfileRules = ProfileRules(), least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [classify(x.as_py(), shared.value) for x in batch.column(column)]
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least_score for lang, score in found], pa.bool_()))
+            for rows in slices(batch, own[column]):
+                found = [classify(x.as_py(), shared.value) for x in rows.column(column)]
+                yield rows.filter(pa.array([lang != UNDETERMINED and score >= least_score for lang, score in found], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ OPEN = 64
 END = 1
 WIDTH = 4
 #: Token pieces that a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 Piece = tuple[int, int, int, bytes]  # doc_id, start, tokens of the document, ids
 

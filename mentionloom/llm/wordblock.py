@@ -36,6 +36,10 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return next(iter(_powers.values()))
 
 
+def forget_tables() -> None:
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the entropy of 64-bit values over all their bits (a bijection)."""
     x = x ^ (x >> np.uint64(30))
