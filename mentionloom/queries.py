@@ -835,11 +835,11 @@ def abbreviation_definitions(spark, sf):
 
 
 def linking_setup(spark: SparkSession, sf: str) -> tuple[DataFrame, linking.KnowledgeBase]:
-    """Mentions of all orders, and parts linked that meet in two orders or more."""
+    """Mentions of all orders, and parts linked that meet in an order."""
     mentions = order_mentions(spark, sf)
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
     pairs = lines.select("o", F.col("p").alias("src")).join(lines.select("o", F.col("p").alias("dst")), "o").filter("src < dst")
-    return mentions, linking.KnowledgeBase(kb.prior_probabilities(part_dictionary(spark, sf)), graph.undirected(kb.count_edges(pairs.select("src", "dst")).filter("w >= 2")))
+    return mentions, linking.KnowledgeBase(kb.prior_probabilities(part_dictionary(spark, sf)), graph.undirected(graph.without_zero(kb.count_edges(pairs.select("src", "dst")))))
 
 
 def _linked(spark: SparkSession, sf: str, iterative: bool) -> DataFrame:

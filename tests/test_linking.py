@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from mentionloom import queries
 from mentionloom.config import LinkConfig
 from mentionloom.operators import annotate, candidates, coref, evaluate, expansion, graph, linking, models
 from mentionloom.plans import link as plans
@@ -173,3 +174,15 @@ def test_ranker_and_nil(spark):
     assert models.predict_nil(None, table).count() == 40
     lines = [x.value for x in features.feature_lines(table.limit(2)).collect()]
     assert all(x.startswith("[entity]") and x.count("\t") == 4 for x in lines)
+
+
+def test_knowledge_base_of_the_queries_has_all_counted_edges(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().toPandas()
+    want = {}
+    for own in lines.groupby("l_orderkey")["l_partkey"]:
+        for a in own[1]:
+            for b in own[1]:
+                if a != b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert 1 in want.values()
+    assert {(x.src, x.dst): x.w for x in queries.linking_setup(spark, sf_dir)[1].edges.collect()} == want
