@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import durable, give_back, slices, utf8_buffer
 from .components import connected_components
@@ -272,16 +273,8 @@ def _links(blocks: DataFrame, rules: NearRules) -> DataFrame:
     return _in_blocks(blocks).mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
-    """One row a row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    component_id is the least doc_id reached over links, kept whether it is the
-    row's own.  Words are split at white space, A to Z lowered.  A null, empty or
-    blank text has an empty set, links with nothing and stays.  Rows with equal
-    sets are one class whatever their number; rows that share a doc_id are
-    reported alike if their sets are equal; null doc_ids rank after all others.
-    Other columns are ignored; an empty table gives no rows.
-    """
+def _labelled(docs: DataFrame, rules: NearRules) -> DataFrame:
+    """As near_duplicates, with the set digest (null for empty sets)."""
     thin = durable(_sketched(docs, rules))
     classes = durable(thin.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("registers").alias("registers")))
     pieces = F.transform(F.sequence(F.lit(0), F.lit(rules.bands - 1)), lambda k: F.substring("registers", k * rules.rows + 1, F.lit(rules.rows)))
@@ -305,13 +298,48 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     labels = labelled.join(least, "root").select("set", "component_id")
     out = thin.join(labels, "set", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "set", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
+    """One row a row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    component_id is the least doc_id reached over links, kept whether it is the
+    row's own.  Words are split at white space, A to Z lowered.  A null, empty or
+    blank text has an empty set, links with nothing and stays.  Rows with equal
+    sets are one class whatever their number; rows that share a doc_id are
+    reported alike if their sets are equal; null doc_ids rank after all others.
+    Other columns are ignored; an empty table gives no rows.
+    """
+    return _labelled(docs, rules).drop("set")
+
+
+def _with_digests(docs: DataFrame, rules: NearRules) -> DataFrame:
+    """The rows of ``docs`` with their set digest, __set, as _sketched computes it."""
+    own = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch):
+                block = WordBlock(*utf8_buffer(rows.column("text")), lower=True)
+                digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in shingle_sets(block, rules.shingle)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(digests, pa.binary())], [*own, "__set"])
+        give_back()
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__set", T.BinaryType())]))
 
 
 def near_dedup(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns.
 
-    Rows that share their doc_id with another that stays do so too.
+    Rows are told apart by doc_id and set digest, so one that is dropped takes no
+    other row of its doc_id, or without one, along.  Near copies that share a
+    doc_id with the one that stays, or lack one all, stay as well.
     """
-    dropped = near_duplicates(docs, rules).filter("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__dropped")), "left_anti")
+    dropped = durable(_labelled(docs, rules).filter("NOT kept").select(F.col("doc_id").alias("__dropped"), F.col("set").alias("__gone")).distinct())
+    ids = dropped.select("__dropped").distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__dropped"))
+    # Only rows whose doc_id is among those dropped need their digest.
+    doubtful = _with_digests(docs.join(ids, same, "left_semi"), rules)
+    gone = doubtful["doc_id"].eqNullSafe(F.col("__dropped")) & (doubtful["__set"] == F.col("__gone"))
+    return docs.join(ids, same, "left_anti").unionByName(doubtful.join(dropped, gone, "left_anti").drop("__set"))

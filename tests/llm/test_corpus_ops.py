@@ -163,6 +163,18 @@ def test_near_dedup_large_group_in_chunks(spark):
     assert Counter(map(tuple, near_dedup.near_duplicates(table, rules).collect())) == brute_components(rows, 3, 85)
 
 
+def test_near_dedup_drops_rows_not_ids(spark):
+    """A near copy without a doc_id, or with a repeated one, takes no clean row along."""
+    words = [f"w{i}" for i in range(100)]
+    text, copy = " ".join(words), " ".join([*words[:-1], "other"])
+    clean = [" ".join(f"{k}{i}" for i in range(50)) for k in "abc"]
+    rows = [(1, text), (None, copy), (None, clean[0]), (5, copy + " more"), (5, clean[1]), (7, clean[2]), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dedup.near_dedup(table)
+    assert kept.columns == table.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[4], rows[5], rows[6]])
+
+
 def test_near_dedup_odd_rows(odd_docs, no_docs):
     rows = [(x.doc_id, x.text) for x in odd_docs.collect()]
     got = Counter(map(tuple, near_dedup.near_duplicates(odd_docs).collect()))
