@@ -38,6 +38,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: An identifier-like token: has a digit or an at sign.
 _TOKEN = re.compile(rf"[^{SPACES}]*[0-9@][^{SPACES}]*")
+#: Fields of a token (a URL's query, JSON or CSV without blanks), and the thousands that are none.
+_FIELD = re.compile(r"[^&;,?|{}]+")
+_THOUSANDS = re.compile(r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?")
+#: Digit groups joined by blanks, dots, brackets and hyphens.
+_GROUPS = re.compile(r"\+?[0-9]+(?:[\x20().-]+[0-9]+)*")
 _EDGE = ".,;:!?()[]{}<>\"'“”‘’«»"
 
 
@@ -51,7 +56,7 @@ class BootstrapRules:
     least_confidence: float = 0.6
     #: An instance is known from here on.
     least_instance: float = 0.6
-    #: A longer word is no context, and a longer token no candidate.
+    #: A longer word is no context.
     longest_token: int = 200
 
 
@@ -97,11 +102,46 @@ def _shape(word: str) -> str:
     return re.sub(r"[0-9]+", "0", word.lower())
 
 
+def _last_field(glued: str) -> str:
+    """The field that a token's head ends with; the one before, if it ends with a separator."""
+    stop = len(glued.rstrip("&;,?|{}"))
+    return glued[max(glued.rfind(x, 0, stop) for x in "&;,?|{}") + 1 :]
+
+
+def _values(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans in a token that can be identifiers: values of name=value or name:value, or whole fields."""
+    if _THOUSANDS.fullmatch(text[start:end].strip(_EDGE)):
+        yield start, end
+        return
+    for field in _FIELD.finditer(text, start, end):
+        s, e = field.span()
+        parts = [] if text.startswith("http", s) else [m.end() for m in re.finditer("[=:]", field[0])]
+        if not parts:
+            yield s, e
+            continue
+        for a, b in zip(parts, [*(x - 1 for x in parts[1:]), e - s], strict=True):
+            yield s + a, s + b
+
+
+def _run_end(text: str, start: int, stop: int) -> int:
+    """Where the run of digit groups that starts here ends; only whole groups count, none of a word."""
+    match = _GROUPS.match(text, start, stop)
+    if not match:
+        return start
+    end = match.end()
+    if end < len(text) and (text[end].isalnum() or text[end] in "@_=:%/+"):
+        end = start + len(text[start : text.rfind(" ", start, end) + 1].rstrip(" ().-"))
+    return end
+
+
 def _contexts(text: str, start: int, rules: BootstrapRules) -> list[str]:
     """Patterns of an identifier that starts here: the last one, two, ... words before it on its line."""
     window = text[max(0, start - (rules.longest_token + 1) * rules.context_words) : start].rpartition("\n")[2]
-    glued = re.search(rf"[^{SPACES}]*$", window)[0]
+    glued = re.split(rf"[{SPACES}]", window)[-1]
     words = [x for x in re.split(rf"[{SPACES}]+", window[: len(window) - len(glued)]) if x]
+    field = _last_field(glued)
+    if field != glued:
+        words, glued = [], field  # earlier fields of the token are no context
     if glued:
         words.append(glued + "\x00")  # no blank between: another pattern
     words = [_shape(x) for x in words[-rules.context_words :]]
@@ -119,22 +159,29 @@ def extract(text: str | None, rules: BootstrapRules) -> tuple[dict[str, list[tup
     seen = []
     for s, e, k in taken:
         seen.append((s, e, k, hashlib.blake2b(text[s:e].lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), _contexts(text, s, rules)))
-    at = 0
+    at = done = reach = 0
     for m in _TOKEN.finditer(text):
-        s, e = m.span()
-        token = m[0]
-        while at < len(taken) and taken[at][1] <= s:
-            at += 1
-        if any(a < e and s < b for a, b, _ in taken[at : at + 8]) or e - s > rules.longest_token:
-            continue
-        # The value of name=value or name:value is the candidate.
-        cut = max(token.rfind("="), token.rfind(":")) + 1 if not token.startswith("http") else 0
-        left = token[cut:]
-        core = left.strip(_EDGE)
-        if len(core) < 4 or not re.search("[0-9@]", core):
-            continue
-        s += cut + left.index(core)
-        seen.append((s, s + len(core), None, hashlib.blake2b(core.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), _contexts(text, s, rules)))
+        for s, e in _values(text, *m.span()):
+            if s < done:
+                continue
+            while at < len(taken) and taken[at][0] <= s:
+                reach = max(reach, taken[at][1])
+                at += 1
+            stop = taken[at][0] if at < len(taken) else len(text)
+            if reach > s or stop < e:
+                continue
+            value = text[s:e]
+            core = value.strip(_EDGE)
+            s += value.index(core)
+            e = s + len(core)
+            if not re.search("[0-9@]", core):
+                continue
+            end = _run_end(text, s, stop)
+            if end > e:
+                e = done = end
+            if e - s < 4:
+                continue
+            seen.append((s, e, None, hashlib.blake2b(text[s:e].lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), _contexts(text, s, rules)))
     return spans, seen
 
 

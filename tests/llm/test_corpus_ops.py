@@ -94,6 +94,26 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert safe[101] == text[101]
 
 
+def test_pii_candidates_are_whole_runs_and_every_value():
+    def unseen(text):
+        return [(text[s:e], patterns) for s, e, kind, _, patterns in pii.extract(text, pii.BootstrapRules())[1] if kind is None]
+
+    assert unseen("call 030 1234 5678 now") == [("030 1234 5678", ["call"])]
+    assert unseen("card 4111 1111 1111 1112.") == [("4111 1111 1111 1112", ["card"])]
+    assert unseen("ring (030) 1234-5678 or 12ab") == [("030) 1234-5678", ["ring (\x00"]), ("12ab", ["or"])]
+    assert [x for x, _ in unseen("x phone=5551234&mail=anna77&id=99887")] == ["5551234", "anna77", "99887"]
+    assert unseen("http://h/p?" + "q=abc&" * 60 + "phone=03012345") == [("03012345", ["phone=\x00"])]
+    assert [x for x, _ in unseen('{"note":"' + "x" * 300 + '","phone":"030-123456"}')] == ["030-123456"]
+    assert [x for x, _ in unseen("sum 1,234,567 of")] == ["1,234,567"]
+
+
+def test_pii_redacts_a_run_whole(spark):
+    rows = [(i, f"my card 4111 1111 1111 {n} here") for i, n in enumerate(x for x in range(1000, 9999) if luhn(f"411111111111{x}")) if i < 20]
+    rows.append((100, "my card 4111 1111 1111 1112 here"))
+    safe = {x.doc_id: x.text for x in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(safe.values()) == {"my card [CARD] here"}
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     assert Counter(x.doc_id for x in pii.find_personal_data(odd_docs).collect()) == Counter(x.doc_id for x in odd_docs.collect())
     assert pii.find_personal_data(no_docs).count() == pii.redact(no_docs).count() == 0
