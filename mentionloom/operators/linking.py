@@ -142,8 +142,17 @@ def winners(rows: DataFrame) -> DataFrame:
     return best.select(*MENTION, "__b.entity", (-F.col("__b.s")).alias("score"))
 
 
+def check_options(cfg: LinkConfig) -> None:
+    """Raise on options that linking does not carry out, so that no run returns the default links in their place."""
+    usual = LinkConfig()
+    names = ("supervised", "nil_prediction", "mention_preference", "context", "link_threshold", "other_threshold", "top_by_source")
+    if other := [x for x in names if getattr(cfg, x) != getattr(usual, x)]:
+        raise NotImplementedError(f"link() does not carry out {', '.join(other)} other than by default")
+
+
 def link(mentions: DataFrame, kb: KnowledgeBase, cfg: LinkConfig = LinkConfig(), contexts: DataFrame | None = None) -> DataFrame:
     """doc_id, mention_id, entity (null: NIL) for every mention."""
+    check_options(cfg)
     found = settle(select_candidates(mentions, kb, cfg, contexts))
     if cfg.use_iterative:
         best = link_iteratively(found, kb, cfg)
@@ -187,14 +196,22 @@ def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig) -> pd.DataF
     if cfg.use_unambiguous:
         sure = {x: 1.0 for x in decided.values()}
     open_.sort(key=lambda x: (-len(x[1]) if cfg.order == "desc" else len(x[1]), x[0]))
-    pool = {x: 1.0 for x in seeds}
+    kind = cfg.entity_preference
+    if kind == "UNIFORM":
+        pool = {x: 1.0 for x in seeds}
+    elif kind == "RANDOM":
+        pool = dict(zip(seeds, np.random.default_rng(42).random(len(seeds)), strict=True))
+    elif kind in ("PRIOR_PROB", "CTX_SIM"):
+        pool = group.groupby("entity")["prior" if kind == "PRIOR_PROB" else "context"].max().to_dict()
+    else:
+        raise ValueError(f"unknown preference {kind}")
     for mention, rows in open_:
         avoid = set(rows["entity"])
-        wanted = {k: v for k, v in sure.items() if k not in avoid} or {k: v for k, v in pool.items() if k not in avoid} or {k: 1.0 for k in avoid}
+        wanted = {k: v for k, v in sure.items() if k not in avoid} or {k: v for k, v in pool.items() if k not in avoid} or {k: pool[k] for k in avoid}
         preference = np.zeros(n)
         for k, v in wanted.items():
             preference[place[k]] = v
-        whole = walks.walk_kernel(n, src, dst, w, preference / preference.sum(), cfg.alpha, cfg.steps, cfg.walk_threshold)[0]
+        whole = walks.walk_kernel(n, src, dst, w, preference / (preference.sum() or 1.0), cfg.alpha, cfg.steps, cfg.walk_threshold)[0]
         semantic = []
         for entity in rows["entity"]:
             p = own[entity]

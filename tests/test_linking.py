@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,21 @@ def test_knowledge_base_of_the_queries_has_all_counted_edges(spark, sf_dir):
                     want[a, b] = want.get((a, b), 0) + 1
     assert 1 in want.values()
     assert {(x.src, x.dst): x.w for x in queries.linking_setup(spark, sf_dir)[1].edges.collect()} == want
+
+
+@pytest.mark.parametrize("option", [{"supervised": True}, {"nil_prediction": True}, {"mention_preference": "TFIDF"}, {"context": "sentence"}, {"link_threshold": 0.5}, {"other_threshold": 0.5}, {"top_by_source": 1}])
+def test_linking_raises_on_options_it_lacks(option):
+    with pytest.raises(NotImplementedError, match=next(iter(option))):
+        linking.link(None, None, LinkConfig(**option))
+
+
+def test_iterative_linking_weighs_entities():
+    """Mention 1 follows the likelier entity of mention 2, by the weight that the strategy gives."""
+    data = [("d", 1, "x", 0.5, 0.4), ("d", 1, "y", 0.4, 0.5), ("d", 2, "p", 0.9, 0.1), ("d", 2, "q", 0.1, 0.9)]
+    group = pd.DataFrame(data, columns=["doc_id", "mention_id", "entity", "prior", "context"])
+    arcs = pd.DataFrame([("x", "p", 1), ("p", "x", 1), ("y", "q", 1), ("q", "y", 1)], columns=["src", "dst", "w"])
+    got = {}
+    for kind in ("PRIOR_PROB", "CTX_SIM"):
+        out = linking.decide(group, arcs, LinkConfig(rank_scheme="SEMANTIC", entity_preference=kind))
+        got[kind] = dict(zip(out["mention_id"], out["entity"], strict=True))[1]
+    assert got == {"PRIOR_PROB": "x", "CTX_SIM": "y"}
