@@ -25,7 +25,7 @@ OPEN = 64
 END = 1
 WIDTH = 4
 #: Token pieces that a worker remembers.
-MEMO = 200_000
+MEMO = 1_000_000
 
 Piece = tuple[int, int, int, bytes]  # doc_id, start, tokens of the document, ids
 
@@ -129,8 +129,8 @@ def pack(docs: DataFrame, path: str | None = None, end: int = END, window: int =
         for batch in batches:
             doc_type = batch.schema.field(0).type
             for rows in slices(batch):
-                for doc, ids in zip(rows.column(0).to_pylist(), texts.encode(rows.column("text").to_pylist()), strict=True):
-                    packer.add(doc, ids + close)
+                for doc, ids in zip(rows.column(0).to_pylist(), texts.encode(rows.column("text")), strict=True):
+                    packer.add(doc, ids.tobytes() + close)
                 yield drain()
         packer.finish()
         yield drain()

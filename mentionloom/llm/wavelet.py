@@ -35,7 +35,7 @@ BLOCK = 512
 SHARD_TOKENS = 4_000_000
 END = 2
 #: Token pieces that a worker remembers.
-MEMO = 1_200_000
+MEMO = 1_000_000
 #: Stands for a null doc_id inside a shard.
 NO_ID = -(2**63)
 #: Shards whose start positions are broadcast at most; beyond, they are joined by shuffle.
@@ -215,10 +215,10 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
 
         for batch in batches:
             for rows in slices(batch):
-                for doc, own in zip(rows.column(0).to_pylist(), texts.encode(rows.column("text").to_pylist()), strict=True):
-                    ids.append(own + close)
+                for doc, own in zip(rows.column(0).to_pylist(), texts.encode(rows.column("text")), strict=True):
+                    ids.append(own.tobytes() + close)
                     names.append(doc)
-                    held += len(own) // 2 + 1
+                    held += len(own) + 1
                     if held >= shard_tokens:
                         yield flush()
         if ids:

@@ -92,7 +92,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, limit:
     return Words(np.concatenate(words), np.concatenate(counts))
 
 
-class WordBlock(Words):
+class SpanHashes:
+    """Hashes of any spans of a run of bytes."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        power, self._inverse = _tables(n + 1)
+        self._prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(_WEIGHT[data] * power[:n], out=self._prefix[1:])
+
+    def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        rolled = (self._prefix[ends] - self._prefix[starts]) * self._inverse[starts]
+        return mix(rolled + (ends - starts).astype(np.uint64))
+
+
+class WordBlock(Words, SpanHashes):
     """data: bytes of the texts end to end; offsets: where each begins, and the end."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
@@ -108,14 +122,8 @@ class WordBlock(Words):
         last[:-1] &= ~inside[1:] | edge[1:n]
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
-        power, self._inverse = _tables(n + 1)
-        self._prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_WEIGHT[data] * power[:n], out=self._prefix[1:])
-        super().__init__(self.span_hash(self.starts, self.ends), np.diff(np.searchsorted(self.starts, offsets)))
-
-    def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        rolled = (self._prefix[ends] - self._prefix[starts]) * self._inverse[starts]
-        return mix(rolled + (ends - starts).astype(np.uint64))
+        SpanHashes.__init__(self, data)
+        Words.__init__(self, self.span_hash(self.starts, self.ends), np.diff(np.searchsorted(self.starts, offsets)))
 
     def characters(self) -> np.ndarray:
         """Code points before each byte."""
