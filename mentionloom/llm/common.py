@@ -40,6 +40,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that none of ``taken`` clashes with, whatever its case."""
+    low = {x.lower() for x in taken}
+    name = f"__{name}"
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -9,12 +9,17 @@ an instance as the patterns that vouch for it, and instances above a threshold
 are known in the next round.  Tokens after trusted patterns become spans of the
 pattern's kind, beside the base ones, which stay.
 
+Secrets (access keys, long random strings) are a fifth kind: their shape gives
+seeds too, so that "password=" or "token =" become patterns and show short or
+wordlike secrets.  They are no base spans.
+
 Each text is read once; what leaves it are spans and the few candidate tokens
 with a digit or an at sign, so the graph is small beside the corpus.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, durable
+from .common import SPACES, durable, fresh
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
+ALL_KINDS = (*KINDS, SECRET)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,12 +44,20 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: An identifier-like token: has a digit or an at sign.
-_TOKEN = re.compile(rf"[^{SPACES}]*[0-9@][^{SPACES}]*")
+_TOKEN = re.compile(rf"(?<![^{SPACES}])[^{SPACES}0-9@]*+[0-9@][^{SPACES}]*")
 #: Fields of a token (a URL's query, JSON or CSV without blanks), and the thousands that are none.
 _FIELD = re.compile(r"[^&;,?|{}]+")
 _THOUSANDS = re.compile(r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?")
 #: Digit groups joined by blanks, dots, brackets and hyphens.
 _GROUPS = re.compile(r"\+?[0-9]+(?:[\x20().-]+[0-9]+)*")
+#: Fixed value: how the access key ids of a large cloud look.
+_ACCESS_KEY = re.compile(r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])")
+_RANDOM = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}(?![A-Za-z0-9_+/-])")
+_TURN = re.compile("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
+#: What ends a value or field inside a token, and the signs that may stand between a name and its value.
+_CUT = re.compile("[=:&;,?|{}]")
+_GLUE = frozenset("=:&;,?|{}\"'([<")
+_BLANKS = frozenset(" \t\n\v\f\r")
 _EDGE = ".,;:!?()[]{}<>\"'“”‘’«»"
 
 
@@ -56,8 +71,8 @@ class BootstrapRules:
     least_confidence: float = 0.6
     #: An instance is known from here on.
     least_instance: float = 0.6
-    #: A longer word is no context.
-    longest_token: int = 200
+    #: A random string, and so a seed of secrets, changes so often between letters and digits.
+    least_turns: int = 4
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -88,7 +103,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     if "@" in text:
         out["email"] = list(_emails(text))
     if _DIGIT.search(text):
-        out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and _luhn(digits):
@@ -98,14 +113,30 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _shape(word: str) -> str:
-    return re.sub(r"[0-9]+", "0", word.lower())
+def secret_spans(text: str, rules: BootstrapRules) -> list[tuple[int, int]]:
+    """Seeds of secrets: access keys and random strings with letters and digits in turn."""
+    found = {m.span() for m in _ACCESS_KEY.finditer(text)}
+    for m in _RANDOM.finditer(text):
+        turns = 0
+        for _ in _TURN.finditer(m[0]):
+            turns += 1
+            if turns >= rules.least_turns:
+                found.add(m.span())
+                break
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if not out or s >= out[-1][1]:
+            out.append((s, e))
+    return out
 
 
-def _last_field(glued: str) -> str:
-    """The field that a token's head ends with; the one before, if it ends with a separator."""
-    stop = len(glued.rstrip("&;,?|{}"))
-    return glued[max(glued.rfind(x, 0, stop) for x in "&;,?|{}") + 1 :]
+#: Longer words stand in patterns by their digest.
+_LONG_WORD = 64
+
+
+def _shape(word: str) -> str:
+    word = re.sub(r"[0-9]+", "0", word.lower())
+    return word if len(word) <= _LONG_WORD else hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def _values(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -134,34 +165,95 @@ def _run_end(text: str, start: int, stop: int) -> int:
     return end
 
 
-def _contexts(text: str, start: int, rules: BootstrapRules) -> list[str]:
-    """Patterns of an identifier that starts here: the last one, two, ... words before it on its line."""
-    window = text[max(0, start - (rules.longest_token + 1) * rules.context_words) : start].rpartition("\n")[2]
-    glued = re.split(rf"[{SPACES}]", window)[-1]
-    words = [x for x in re.split(rf"[{SPACES}]+", window[: len(window) - len(glued)]) if x]
-    field = _last_field(glued)
-    if field != glued:
-        words, glued = [], field  # earlier fields of the token are no context
-    if glued:
-        words.append(glued + "\x00")  # no blank between: another pattern
-    words = [_shape(x) for x in words[-rules.context_words :]]
-    if any(len(x) > rules.longest_token for x in words):
-        return []
-    return [" ".join(words[-n:]) for n in range(1, len(words) + 1) if any(c.isalpha() for c in words[-n])]
+class _Contexts:
+    """Patterns of the identifiers of one text, asked for in ascending order of their places.
+
+    A pattern is the last one, two, ... words before an identifier on its line.
+    What is glued to the identifier inside its token (a name with "=", a quote)
+    is the last of these words and marked; it reaches back to the start of the
+    field, or to the value or identifier before (``floor``).  Every character is looked at a bounded number of times.
+    """
+
+    def __init__(self, text: str, words: int):
+        self._text, self._words = text, words
+        self._token = (-1, -1)
+        self._before: list[str] = []
+        self._cuts: list[int] = []
+
+    def _words_before(self, start: int) -> list[str]:
+        """Up to so many words with a letter or digit, each with up to two of signs alone after it."""
+        text, out, lettered, signs, at = self._text, [], 0, 0, start
+        while lettered < self._words and signs < 3:
+            while at > 0 and text[at - 1] in " \t\v\f\r":
+                at -= 1
+            if at == 0 or text[at - 1] == "\n":
+                break
+            end = at
+            while at > 0 and text[at - 1] not in _BLANKS:
+                at -= 1
+            if any(c.isalnum() for c in text[at:end]):
+                lettered, signs = lettered + 1, 0
+            else:
+                signs += 1
+            out.append(_shape(text[at:end]))
+        return out[::-1]
+
+    def at(self, token: tuple[int, int], start: int, floor: int) -> list[str]:
+        text = self._text
+        if token != self._token:
+            self._token, self._before = token, self._words_before(token[0])
+            self._cuts = [m.end() for m in _CUT.finditer(text, *token)]
+        words, glued = self._before, ""
+        if start > token[0]:
+            # Back over signs that end the head, then to the separator or value before them.
+            j = start
+            floor = max(floor, token[0])
+            while j > floor and text[j - 1] in _GLUE:
+                j -= 1
+            k = bisect.bisect_left(self._cuts, j) - 1
+            low = max(floor, self._cuts[k]) if k >= 0 and j > floor else floor
+            glued = text[low:start]
+            if low > token[0]:
+                words = []  # earlier fields of the token are no context
+        if glued:
+            words = [*words, _shape(glued) + "\x00"]  # no blank between: another pattern
+        heads = [i for i, x in enumerate(words) if any(c.isalpha() for c in x)]
+        return [" ".join(words[i:]) for i in heads[-self._words :]]
+
+
+def _instance(value: str) -> bytes:
+    return hashlib.blake2b(value.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
 def extract(text: str | None, rules: BootstrapRules) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int, int, str | None, bytes, list[str]]]]:
     """Base spans, and occurrences for the graph: start, end, kind (null: unknown), instance, patterns."""
-    if not text or not ("@" in text or _DIGIT.search(text)):
+    if not text:
         return {k: [] for k in KINDS}, []
     spans = base_spans(text)
-    taken = sorted((s, e, k) for k, own in spans.items() for s, e in own)
-    seen = []
-    for s, e, k in taken:
-        seen.append((s, e, k, hashlib.blake2b(text[s:e].lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), _contexts(text, s, rules)))
-    at = done = reach = 0
-    for m in _TOKEN.finditer(text):
-        for s, e in _values(text, *m.span()):
+    based = sorted((s, e, k) for k, own in spans.items() for s, e in own)
+    # A secret seed that meets a base span is no seed.
+    taken, at, reach = list(based), 0, 0
+    for s, e in secret_spans(text, rules):
+        while at < len(based) and based[at][0] < e:
+            reach = max(reach, based[at][1])
+            at += 1
+        if reach <= s:
+            taken.append((s, e, SECRET))
+    taken.sort()
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    if not tokens and not taken:
+        return spans, []
+    contexts, seen, k, floor = _Contexts(text, rules.context_words), [], 0, 0
+    for s, e, kind in taken:
+        while k < len(tokens) and tokens[k][1] <= s:
+            k += 1
+        token = tokens[k] if k < len(tokens) and tokens[k][0] <= s else (s, e)
+        seen.append((s, e, kind, _instance(text[s:e]), contexts.at(token, s, min(floor, s))))
+        floor = max(floor, e)
+    contexts = _Contexts(text, rules.context_words)
+    at = done = reach = floor = 0
+    for token in tokens:
+        for s, e in _values(text, *token):
             if s < done:
                 continue
             while at < len(taken) and taken[at][0] <= s:
@@ -172,16 +264,15 @@ def extract(text: str | None, rules: BootstrapRules) -> tuple[dict[str, list[tup
                 continue
             value = text[s:e]
             core = value.strip(_EDGE)
-            s += value.index(core)
+            s += len(value) - len(value.lstrip(_EDGE)) if core else 0
             e = s + len(core)
             if not re.search("[0-9@]", core):
                 continue
             end = _run_end(text, s, stop)
             if end > e:
                 e = done = end
-            if e - s < 4:
-                continue
-            seen.append((s, e, None, hashlib.blake2b(text[s:e].lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), _contexts(text, s, rules)))
+            seen.append((s, e, None, _instance(text[s:e]), contexts.at(token, s, min(max(floor, reach), s))))
+            floor = e
     return spans, seen
 
 
@@ -190,20 +281,22 @@ _SEEN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end",
 
 
 def _extracted(docs: DataFrame, rules: BootstrapRules) -> DataFrame:
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(k, T.ArrayType(_SPAN)) for k in KINDS), T.StructField("seen", T.ArrayType(_SEEN))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.BinaryType()), *(T.StructField(k, T.ArrayType(_SPAN)) for k in KINDS), T.StructField("seen", T.ArrayType(_SEEN))])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     seen = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("instance", pa.binary()), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans: dict[str, list] = {k: [] for k in KINDS}
-            occurrences = []
-            for text in batch.column("text"):
-                found, own = extract(text.as_py(), rules)
+            occurrences, digests = [], []
+            for value in batch.column("text"):
+                text = value.as_py()
+                digests.append(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                found, own = extract(text, rules)
                 for k in KINDS:
                     spans[k].append([{"start": s, "end": e} for s, e in found[k]])
                 occurrences.append([dict(zip(("start", "end", "kind", "instance", "patterns"), x, strict=True)) for x in own])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(spans[k], span) for k in KINDS), pa.array(occurrences, seen)], ["doc_id", *KINDS, "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), *(pa.array(spans[k], span) for k in KINDS), pa.array(occurrences, seen)], ["doc_id", "digest", *KINDS, "seen"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -235,30 +328,41 @@ def score_patterns(occurrences: DataFrame, rules: BootstrapRules = BootstrapRule
     return trusted
 
 
-def find_personal_data(docs: DataFrame, rules: BootstrapRules = BootstrapRules()) -> DataFrame:
-    """One row a row of ``docs``: doc_id, base and found.
+def _order(kind: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, ALL_KINDS)), kind).cast("int")
 
-    Both are arrays of (kind, start, end) in code points, by kind as in KINDS,
-    then start; base has the spans of the four expressions, found those that only
-    the method adds.  A null or empty text has none.  Rows that share a doc_id are
-    handled one by one; repeated rows count once as evidence.  Other columns are
-    ignored; an empty table gives no rows.
-    """
+
+def _found(docs: DataFrame, rules: BootstrapRules) -> DataFrame:
+    """doc_id, digest of the text, base and found."""
     rows = durable(_extracted(docs, rules).withColumn("row", F.monotonically_increasing_id()))
     seen = rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")
     edges = seen.select("instance", F.explode("patterns").alias("pattern"), "kind")
     trusted = score_patterns(edges, rules)
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    hits = seen.filter("kind IS NULL").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern")
-    hits = hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")).withColumn("order", order)
-    found = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("order", "start", "end", "kind"))).alias("found"))
+    hits = seen.filter("kind IS NULL").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern").select("row", "start", "end", "kind", "confidence")
+    seeds = seen.filter(F.col("kind") == SECRET).select("row", "start", "end", "kind", F.lit(1.0).alias("confidence"))
+    hits = hits.unionByName(seeds).groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    found = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(_order(F.col("kind")).alias("order"), "start", "end", "kind"))).alias("found"))
 
     def tagged(kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
     base = F.concat(*map(tagged, KINDS))
-    added = F.transform(F.coalesce("found", F.array().cast("array<struct<order:int,start:bigint,end:bigint,kind:string>>")), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return rows.join(found.withColumn("found", F.transform("found", lambda x: F.struct(x["order"].cast("int").alias("order"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))), "row", "left").select("doc_id", base.alias("base"), added.alias("found"))
+    added = F.coalesce("found", F.array().cast("array<struct<order:int,start:bigint,end:bigint,kind:string>>"))
+    added = F.transform(added, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return rows.join(found, "row", "left").select("doc_id", "digest", base.alias("base"), added.alias("found"))
+
+
+def find_personal_data(docs: DataFrame, rules: BootstrapRules = BootstrapRules()) -> DataFrame:
+    """One row a row of ``docs``: doc_id, base and found.
+
+    Both are arrays of (kind, start, end) in code points, by kind as in ALL_KINDS,
+    then start; base has the spans of the four expressions, found those that only
+    the method adds, and the seeds of secrets.  A null or empty text has none.  Rows that share a doc_id are
+    handled one by one; repeated rows count once as evidence; of kinds equally
+    trusted the last by name is taken.  Texts and words of any length are read
+    whole.  Other columns are ignored; an empty table gives no rows.
+    """
+    return _found(docs, rules).drop("digest")
 
 
 def spell(spans: Column) -> Column:
@@ -267,29 +371,41 @@ def spell(spans: Column) -> Column:
 
 
 def by_kind(spans: Column) -> Column:
-    """Spans by kind as in KINDS, then start."""
-    keyed = F.transform(spans, lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("order"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    """Spans by kind as in ALL_KINDS, then start."""
+    keyed = F.transform(spans, lambda x: F.struct(_order(x["kind"]).alias("order"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     return F.sort_array(keyed)
 
 
 def redact(docs: DataFrame, rules: BootstrapRules = BootstrapRules()) -> DataFrame:
-    """The rows of ``docs`` with [KIND] in place of every span, overlapping spans as one; needs distinct doc_ids."""
-    spans = find_personal_data(docs, rules).select(F.col("doc_id").alias("__id"), F.concat("base", "found").alias("__spans"))
-    spans = spans.filter(F.size("__spans") > 0)
+    """The rows of ``docs`` with [KIND] in place of every span, overlapping spans as one of the first kind.
+
+    Rows meet their spans by a digest of the text, so null and repeated doc_ids
+    and repeated rows are redacted like any other.  A null text stays null, an
+    empty one empty; all columns stay; an empty table gives no rows.
+    """
     own = docs.columns
-    rows = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    at = own.index("text"), len(own)
+    key, at_key = fresh(own, "digest"), len(own)
+    texts = own.index("text")
+    spans = _found(docs, rules).select(F.col("digest").alias(key), F.concat("base", "found").alias("spans")).filter(F.size("spans") > 0)
+    spans = durable(spans.dropDuplicates([key]).select(key, F.col("spans").alias(fresh([*own, key], "spans"))))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashlib.blake2b((x or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in batch.column(texts).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*own, key])
+
+    rows = docs.mapInArrow(digest, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])).join(spans, key, "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, found in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist(), strict=True):
+            out_texts = []
+            for text, found in zip(batch.column(texts).to_pylist(), batch.column(at_key).to_pylist(), strict=True):
                 out, done = [], 0
                 for x in sorted(found or [], key=lambda x: (x["start"], -x["end"])):
                     if x["start"] >= done:
                         out += [text[done : x["start"]], f"[{x['kind'].upper()}]"]
                     done = max(done, x["end"])
-                texts.append(text if text is None else "".join(out) + text[done:])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(at[0]).type) if i == at[0] else batch.column(i) for i in range(len(own))], own)
+                out_texts.append(text if text is None else "".join(out) + text[done:])
+            yield pa.RecordBatch.from_arrays([pa.array(out_texts, batch.column(texts).type) if i == texts else batch.column(i) for i in range(len(own))], own)
 
-    return rows.select(*own, "__spans").mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from .lm_scoring import backoff_scores
 from .mixing import mix_report
 from .near_dedup import NearRules, near_duplicates
 from .packing import pack
-from .pii import KINDS, by_kind, find_personal_data, spell
+from .pii import KINDS, SECRET, by_kind, find_personal_data, spell
 from .repetition import repetition_report
 from .wavelet import read_shards, write_shards
 
@@ -28,7 +28,17 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = map(count, KINDS)
-    return rows.select("doc_id", *counts, F.sha2(spell(F.col("base")).cast("binary"), 256).alias("base_sha256"), spell(by_kind(F.concat("base", "found"))).alias("spans"))
+    secrets = F.size(F.filter("found", lambda x: x["kind"] == SECRET)).cast("long")
+    found = F.size("found").cast("long")
+    return rows.select(
+        "doc_id",
+        *counts,
+        F.sha2(spell(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        spell(by_kind(F.concat("base", "found"))).alias("spans"),
+        (F.size("base") + found).alias("n_spans"),
+        found.alias("n_found"),
+        secrets.alias("n_secret"),
+    )
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
