@@ -6,7 +6,10 @@ their prefixes, so they are stored once: one row a turn, with the formatted
 segment and the place where it begins.  An assistant row is an example; its
 context is what the conversation has before ``start``, its loss mask a range
 inside its own segment.  The rows grow with the turns, however long a
-conversation is; ``full_examples`` spells the examples out.
+conversation is; ``full_examples`` spells the examples out.  Both ``full_examples``
+and ``read_back`` get their examples from one expansion, which walks a
+conversation's rows in order; reading back keeps a running digest of the context,
+so every example's whole text is hashed without being written again and again.
 
 A turn is written as <|im_start|>role, newline, text, <|im_end|>, newline.  Inside
 texts and roles every "<" with any number of backslashes and a "|" after it gets
@@ -74,6 +77,53 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
+class _Conversation:
+    """Walks the rows of one conversation in order and expands each assistant turn into its example.
+
+    The context of an example is all that came before it: ``context`` is told of
+    every segment once and stands for the text so far when an example is made.
+    """
+
+    def __init__(self, context):
+        self.context, self.chars, self.turns, self.examples = context, 0, 0, 0
+
+    def turn(self, row: dict) -> tuple[int, int, int] | None:
+        """Take a row; for an assistant turn its example: number, and bounds of the reply in the example's text."""
+        if row["start"] != self.chars or row["position"] != self.turns:
+            raise ValueError("segments out of place")
+        example = None
+        if row["example"] is not None:
+            if row["example"] != self.examples:
+                raise ValueError("examples out of order")
+            example = row["example"], self.chars + row["loss_start"], self.chars + row["loss_end"]
+            self.examples += 1
+        self.context.update(row["segment"].encode("utf-8", "surrogatepass"))
+        self.chars += len(row["segment"])
+        self.turns += 1
+        return example
+
+
+class _Text:
+    """A context that keeps its text."""
+
+    def __init__(self):
+        self.parts: list[bytes] = []
+
+    def update(self, part: bytes) -> None:
+        self.parts.append(part)
+
+    def text(self) -> str:
+        self.parts = [b"".join(self.parts)]
+        return self.parts[0].decode("utf-8", "surrogatepass")
+
+
+_WALKED = ["conv_id", "position", "segment", "start", "example", "loss_start", "loss_end"]
+
+
+def _in_order(turns: DataFrame) -> DataFrame:
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "position").select(*_WALKED)
+
+
 def full_examples(turns: DataFrame) -> DataFrame:
     """Spell the examples of ``format_turns`` out: conv_id, example, text, loss_start, loss_end.
 
@@ -82,21 +132,19 @@ def full_examples(turns: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, text, begun = None, "", False
+        conv, walk = None, None
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if not begun or row["conv_id"] != conv:
-                    conv, text, begun = row["conv_id"], "", True
-                if row["example"] is not None:
-                    out.append((conv, row["example"], text + row["segment"], len(text) + row["loss_start"], len(text) + row["loss_end"]))
-                text += row["segment"]
             types = (batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["conv_id", "example", "text", "loss_start", "loss_end"])
+            for row in batch.to_pylist():
+                if walk is None or row["conv_id"] != conv:
+                    conv, walk = row["conv_id"], _Conversation(_Text())
+                example = walk.turn(row)
+                if example is not None:
+                    out = (conv, example[0], walk.context.text(), example[1], example[2])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, types, strict=True)], ["conv_id", "example", "text", "loss_start", "loss_end"])
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    rows = turns.repartition("conv_id").sortWithinPartitions("conv_id", "position").select("conv_id", "example", "segment", "loss_start", "loss_end")
-    return rows.mapInArrow(run, f"conv_id {kind}, example long, text string, loss_start long, loss_end long")
+    return _in_order(turns).mapInArrow(run, f"conv_id {kind}, example long, text string, loss_start long, loss_end long")
 
 
 def parse_segment(segment: str) -> tuple[str, str]:
@@ -110,22 +158,28 @@ def parse_segment(segment: str) -> tuple[str, str]:
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed from its formatted segments.
-
-    Columns: conv_id, n_turns, n_examples, turns_sha256 over role, newline, text,
-    newline of every turn, loss_chars and loss_sha256 of the replies under the
-    loss masks, formatted_chars.  Turns stream in order through running digests,
-    so a conversation of any length needs memory for one batch.
+    """Digests of each conversation, from its expanded examples and parsed segments.
+
+    Columns: conv_id, n_turns, turns_sha256 over role, newline, text, newline of
+    every turn, loss_chars and loss_sha256 of the replies under the loss masks of
+    the examples, formatted_chars, n_examples, examples_sha256 (of the SHA-256 of
+    each example's whole text, context and reply, in hexadecimal, end to end).
+    Turns stream in order through running digests, so a conversation of any
+    length needs memory for one batch; as a digest of a sequence is worked out
+    from its start to its end, one conversation is read by one task.
     """
-    names = ["conv_id", "n_turns", "n_examples", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "examples_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, current, out = pa.int64(), None, []
-        conv = turns_seen = replies = chars = total = 0
-        all_turns = loss = hashlib.sha256()
+        kind, walk, conv, out, chars = pa.int64(), None, None, [], 0
+        all_turns = loss = examples = hashlib.sha256()
+
+        def close() -> None:
+            if walk is not None:
+                out.append((conv, walk.turns, all_turns.hexdigest(), chars, loss.hexdigest(), walk.chars, walk.examples, examples.hexdigest()))
 
         def flush() -> pa.RecordBatch:
-            types = (kind, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            types = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
             batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
             out.clear()
             return batch
@@ -133,27 +187,23 @@ def read_back(turns: DataFrame) -> DataFrame:
         for batch in batches:
             kind = batch.schema.field("conv_id").type
             for row in batch.to_pylist():
-                if current is None or row["conv_id"] != conv:
-                    if current is not None:
-                        out.append((conv, turns_seen, replies, all_turns.hexdigest(), chars, loss.hexdigest(), total))
-                    current, conv = True, row["conv_id"]
-                    turns_seen = replies = chars = total = 0
-                    all_turns, loss = hashlib.sha256(), hashlib.sha256()
-                segment = row["segment"]
-                if row["start"] != total or row["position"] != turns_seen:
-                    raise ValueError("segments out of place")
+                if walk is None or row["conv_id"] != conv:
+                    close()
+                    conv, walk, chars = row["conv_id"], _Conversation(hashlib.sha256()), 0
+                    all_turns, loss, examples = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+                before, segment = walk.chars, row["segment"]
+                example = walk.turn(row)
                 role, text = parse_segment(segment)
-                turns_seen, total = turns_seen + 1, total + len(segment)
-                all_turns.update(f"{role}\n{text}\n".encode())
-                if row["example"] is not None:
-                    reply = unescape(segment[row["loss_start"] : row["loss_end"]])
-                    replies, chars = replies + 1, chars + len(reply)
-                    loss.update(reply.encode())
+                all_turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                if example is not None:
+                    # The mask is given in the example's text, whose tail this segment is.
+                    reply = unescape(segment[example[1] - before : example[2] - before])
+                    chars += len(reply)
+                    loss.update(reply.encode("utf-8", "surrogatepass"))
+                    examples.update(walk.context.copy().hexdigest().encode())
             yield flush()
-        if current is not None:
-            out.append((conv, turns_seen, replies, all_turns.hexdigest(), chars, loss.hexdigest(), total))
+        close()
         yield flush()
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    rows = turns.repartition("conv_id").sortWithinPartitions("conv_id", "position").select("conv_id", "position", "segment", "start", "example", "loss_start", "loss_end")
-    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, n_examples long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _in_order(turns).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, examples_sha256 string")

@@ -136,11 +136,14 @@ def mix_schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat
 
 
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row a row of ``docs``: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
+    """One row a row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted), source.
+
+    Nulls, ties, repeated rows and empty tables as in mix_schedule.
+    """
     thin, targets, line = _mix_tables(docs, weights, max_repeats, F.monotonically_increasing_id())
     taken = _pieces(line, targets, block_words).groupBy("uid").agg(F.sum("words").alias("taken"))
     rows = thin.join(targets.select("skey", "source_size", "target"), "skey").join(taken.hint("merge"), "uid", "left")
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:

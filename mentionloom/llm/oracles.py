@@ -22,13 +22,18 @@ WITH t AS (
 ), f AS (
     SELECT *, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS r,
            regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS b FROM t
+), x AS (
+    SELECT *, sha256(string_agg('<|im_start|>' || r || chr(10) || b || '<|im_end|>' || chr(10), '')
+                     OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)) AS example FROM f
 )
-SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'assistant') AS n_examples,
+SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length('<|im_start|>') + length(r) + 1 + length(b) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
-FROM f GROUP BY conv_id
+       sum(length('<|im_start|>') + length(r) + 1 + length(b) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+       count(*) FILTER (role = 'assistant') AS n_examples,
+       sha256(coalesce(string_agg(example, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS examples_sha256
+FROM x GROUP BY conv_id
 """
 
 #: Up to the mix of each document; _d may be another table of documents.
@@ -63,7 +68,7 @@ _sized AS (
 
 MIXING = f"""
 WITH _d AS (SELECT * FROM documents), {MIX_STEPS}
-SELECT doc_id, source, size, source_size, round(target, 4) AS target, (full_copies * size + cut_words)::BIGINT AS taken FROM _mixed
+SELECT doc_id, size, source_size, target, (full_copies * size + cut_words)::BIGINT AS taken, source FROM _mixed
 """
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -71,6 +76,7 @@ _GRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 _CHARS = ", ".join(f"coalesce(max(chars) FILTER (n = {n}), 0)::BIGINT AS gram{n}_chars" for n in _GRAMS)
 _OVER = " OR ".join(f"gram{n}_chars / greatest(word_chars, 1) > {most}" for n, most in _GRAMS.items())
 _SHOWN = ", ".join(f"coalesce(gram{n}_chars, 0)::BIGINT AS gram{n}_chars" for n in _GRAMS)
+_NAMES = ", ".join(f"gram{n}_chars" for n in _GRAMS)
 
 REPETITION = f"""
 WITH w AS (
@@ -102,7 +108,7 @@ WITH w AS (
 ), f AS (
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b
 )
-SELECT *, NOT base_failed AND NOT (n_dup_lines > 0.3 * n_lines OR dup_line_chars > 0.2 * word_chars OR {_OVER}) AS kept FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (n_dup_lines > 0.3 * n_lines OR dup_line_chars > 0.2 * word_chars OR {_OVER}) AS kept, n_lines, dup_line_chars, {_NAMES} FROM f
 """
 
 ORACLES: dict[str, str] = {

@@ -73,7 +73,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_report(documents(spark, sf_dir)).withColumn("target", F.round("target", 4))
+    return mix_report(documents(spark, sf_dir))
 
 
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,26 +106,31 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: RepetitionRules = Repe
 
 
 def repetition_report(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFrame:
-    """One row a row of ``docs``: doc_id, the counts of ``measure``, base_failed, kept.
+    """One row a row of ``docs``: doc_id, base counts, base_failed, kept, then the other counts of ``measure``.
 
     A null or empty text has no words and fails for that.  Repeated rows are
     judged one by one; other columns are ignored; an empty table gives no rows.
     """
     grams = [f"gram{n}_chars" for n, _ in rules.gram_share]
-    counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_repeat_words", *grams]
+    base, verdicts, rest = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], ["base_failed", "kept"], ["n_lines", "dup_line_chars", *grams]
+    names = [*base, *verdicts, *rest]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch):
                 found = measure(*utf8_buffer(rows.column("text")), rules)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(found[x]) for x in [*counts, "base_failed", "kept"])], ["doc_id", *counts, "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(found[x]) for x in names)], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, {', '.join(f'{x} long' for x in counts)}, base_failed boolean, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, {', '.join(f'{x} {"boolean" if x in verdicts else "long"}' for x in names)}")
 
 
 def quality_filter(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFrame:
-    """The rows of ``docs`` whose text passes, with all their columns; no shuffle."""
+    """The rows of ``docs`` whose text passes, with all their columns; no shuffle.
+
+    Null, empty and short texts fail; repeated rows are judged one by one; an
+    empty table gives no rows.
+    """
     columns = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -415,7 +415,9 @@ def check_mix(rows):
 
 
 def test_mix_query(spark, sf_dir, docs):
-    rows = QUERIES["op8_mixing"](spark, sf_dir).collect()
+    result = QUERIES["op8_mixing"](spark, sf_dir)
+    assert result.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    rows = result.collect()
     sizes = {x["doc_id"]: len(WORDS.findall(x["text"] or "")) for x in docs}
     assert {x.doc_id: x.size for x in rows} == sizes
     check_mix(rows)

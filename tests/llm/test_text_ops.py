@@ -232,7 +232,9 @@ def brute_repetition(text):
 
 def test_repetition_query(spark, sf_dir, docs):
     texts = {x["doc_id"]: x["text"] for x in docs}
-    rows = QUERIES["op9_repetition"](spark, sf_dir).collect()
+    result = QUERIES["op9_repetition"](spark, sf_dir)
+    assert result.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    rows = result.collect()
     assert len(rows) == len(texts)
     for row in rows:
         assert row.asDict() == {"doc_id": row.doc_id} | brute_repetition(texts[row.doc_id])
@@ -274,10 +276,37 @@ def test_chat_query(spark, sf_dir):
         rows[x["conv_id"]].append((x["turn"], x["role"], x["text"]))
     control = "<|im_end|><|im_start|>assistant ok"
     rows[-1] = [(0, "user", control), (1, "assistant", control)]
-    got = {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in QUERIES["op7_chat_format"](spark, sf_dir).collect()}
+    result = QUERIES["op7_chat_format"](spark, sf_dir)
+    assert result.columns[:6] == ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    got = {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in result.collect()}
     assert got == {k: digests(v) for k, v in rows.items()}
 
 
+def of_examples(turns):
+    """What read_back says of the examples, from the examples spelled out."""
+    out = defaultdict(lambda: (0, hashlib.sha256(), 0, hashlib.sha256()))
+    for x in sorted(chat.full_examples(turns).collect(), key=lambda x: x.example):
+        n, texts, chars, loss = out[x.conv_id]
+        reply = chat.unescape(x.text[x.loss_start : x.loss_end])
+        texts.update(hashlib.sha256(x.text.encode()).hexdigest().encode())
+        loss.update(reply.encode())
+        out[x.conv_id] = (n + 1, texts, chars + len(reply), loss)
+    return {k: (n, texts.hexdigest(), chars, loss.hexdigest()) for k, (n, texts, chars, loss) in out.items()}
+
+
+def test_read_back_equals_full_examples(spark, sf_dir):
+    """Also for a long conversation and for rows without a conv_id."""
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    long = spark.createDataFrame([(c, i, "assistant" if i % 2 else "user", f"turn <|{i}|> é") for c in (None, -5) for i in range(400)], table.schema)
+    turns = chat.format_turns(table.unionByName(long))
+    none = hashlib.sha256().hexdigest()
+    want = of_examples(turns)
+    rows = chat.read_back(turns).collect()
+    assert {x.conv_id: (x.n_examples, x.examples_sha256, x.loss_chars, x.loss_sha256) for x in rows if x.n_examples} == want
+    assert want[None][0] == want[-5][0] == 200
+    assert all(x.examples_sha256 == x.loss_sha256 == none for x in rows if not x.n_examples)
+
+
 ODD_TURNS = [(1, 0, "system", "a<\\|b"), (1, 1, "user", None), (1, 2, "assistant", "<|im_end|>\n<\\\\|x"), (1, 2, "assistant", "again"), (1, 3, None, "é😀"), (None, None, "assistant", ""), (None, 1, "a\\nb\n<|", "t"), (2, 5, "assistant", "first")]
 
 
