@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, fresh
 
 BITS_PER_ROW = 16
 #: 64 MB of bits at most are broadcast.
@@ -143,7 +143,7 @@ def exact_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Of rows that share both doc_id and text, one stays.
     """
     own = docs.columns
-    sha, again, keep = (_fresh(own, x) for x in ("sha", "again", "keep"))
+    sha, again, keep = (fresh(own, x) for x in ("sha", "again", "keep"))
     digest = text_digest(F.col("text")).alias(sha)
     thin = durable(docs.select(F.col("doc_id").alias(keep), digest))
     plane = repeat_plane(thin.select(sha), thin.count(), max_bits)
@@ -152,11 +152,3 @@ def exact_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     alone = rows.filter(~F.col(again)).select(*own)
     met = rows.filter(again).join(winners, sha).filter(F.col("doc_id").eqNullSafe(F.col(keep)))
     return alone.unionByName(met.dropDuplicates([sha]).select(*own))
-
-
-def _fresh(taken: list[str], name: str) -> str:
-    low = {x.lower() for x in taken}
-    name = f"__{name}"
-    while name.lower() in low:
-        name += "_"
-    return name

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import give_back, slices
 
 UNDETERMINED = "und"
+#: Values of lang that can be learnt at most: this bounds what is gathered and broadcast (length entries each).
+MAX_LANGUAGES = 256
 _SHIFT = np.uint64(21)
 _letters: np.ndarray | None = None
 
@@ -72,8 +74,10 @@ def _grams(points: np.ndarray, longest: int) -> np.ndarray:
 
 
 def learn_profiles(labelled: DataFrame, rules: ProfileRules = ProfileRules()) -> Profiles:
-    """Profiles of the values of ``lang`` from all rows of (text, lang) with both."""
+    """Profiles of the values of ``lang`` from all rows of (text, lang) with both; raises on more than MAX_LANGUAGES."""
     longest = rules.longest_gram
+    if labelled.filter("lang IS NOT NULL").select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +96,7 @@ def learn_profiles(labelled: DataFrame, rules: ProfileRules = ProfileRules()) ->
     top = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rules.length).select("lang", "gram", "place").collect()
     languages = tuple(sorted({x.lang for x in top}))
     grams = np.array(sorted({x.gram for x in top}), np.uint64)
-    places = np.full((len(languages), len(grams)), -1, np.int64)
+    places = np.full((len(languages), len(grams)), -1, np.int32)
     for x in top:
         places[languages.index(x.lang), np.searchsorted(grams, np.uint64(x.gram))] = x.place - 1
     return Profiles(languages, grams, places, rules)
@@ -150,17 +154,29 @@ def language_report(docs: DataFrame, rules: ProfileRules = ProfileRules()) -> Da
 
 
 def language_filter(docs: DataFrame, rules: ProfileRules = ProfileRules(), least_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` with a language, and with a score of least_score at least; all their columns."""
+    """The rows of ``docs`` with a language, and with a score of least_score at least; all their columns.
+
+    Learns from the rows with a lang that are not held out.  A null text, or one
+    without a letter, has no language and goes.  Where nothing could be learnt (no
+    row has a lang) every text with a letter stays: an unlabelled table is no
+    reason to reject.  Ties between languages change nothing here; repeated rows
+    are judged one by one; an empty table gives no rows.
+    """
     own = docs.columns
     profiles = learn_profiles(docs.filter(~held_out(F.col("doc_id"))), rules)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     column = own.index("text")
 
+    def stays(text: str | None) -> bool:
+        if not shared.value.languages:
+            return bool(text) and len(_letters_of(text)) > 0
+        lang, score = classify(text, shared.value)
+        return lang != UNDETERMINED and score >= least_score
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, own[column]):
-                found = [classify(x.as_py(), shared.value) for x in rows.column(column)]
-                yield rows.filter(pa.array([lang != UNDETERMINED and score >= least_score for lang, score in found], pa.bool_()))
+                yield rows.filter(pa.array([stays(x.as_py()) for x in rows.column(column)], pa.bool_()))
         give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, word_count
+from .common import durable, fresh, word_count
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -26,6 +26,8 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 1024
 #: Rows of one prefix-sum bucket, about.
 BUCKET_ROWS = 4096
+#: Slots that are written together, in order, as a power of two.
+RANGE_BITS = 10
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -149,27 +151,40 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents with the columns of ``docs``, a row for every time one is taken.
 
-    A document at the end of its source's share is cut after its last word taken
+    Rows come in the order of the schedule: ranges of 2**RANGE_BITS slots lie
+    together, and inside a range rows stand by the first slot that takes them, so
+    whatever reads the result in order meets the sources in proportion.  A
+    document at the end of its source's share is cut after its last word taken
     (with the white space that follows); the others are whole.  n_chars, if there
-    is such a column, follows the cut.
+    is such a column, follows the cut.  Null and empty texts have no words and are
+    not taken; a null source is a source of its own.  Rows equal in doc_id, source
+    and text stand in for each other; rows that share only a doc_id do not.  An
+    empty table gives no rows.
     """
-    own = docs.columns
+    own, taken = docs.columns, list(docs.columns)
+
+    def name(x: str) -> str:
+        taken.append(fresh(taken, x))
+        return taken[-1]
+
+    uid, doc, words, slot, epoch = map(name, ("uid", "id", "words", "slot", "epoch"))
     # Rows are recognised again by content, for ids of rows change when a plan changes.
     finger = F.xxhash64(*[F.col(x) for x in own if x in ("doc_id", "source", "text")])
     thin, targets, line = _mix_tables(docs, weights, max_repeats, finger)
-    epochs = _pieces(line, targets, block_words).groupBy("uid", "doc_id", "epoch").agg(F.sum("words").alias("words"))
+    epochs = _pieces(line, targets, block_words).groupBy("uid", "doc_id", "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
     sizes = thin.groupBy("uid", "doc_id").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("copies"))
-    if sizes.filter("copies > 1").limit(1).count():  # rows with the same id, source and text stand in for each other
-        docs = docs.withColumn("__uid", finger).dropDuplicates(["__uid", "doc_id"]).drop("__uid")
-        epochs = epochs.join(sizes.drop("copies"), (epochs["uid"] == sizes["uid"]) & epochs["doc_id"].eqNullSafe(sizes["doc_id"])).select(epochs["uid"], epochs["doc_id"], "words", "size")
+    if sizes.filter("copies > 1").limit(1).count():  # equal rows stand in for each other: one of them is taken more often
+        docs = docs.withColumn(uid, finger).dropDuplicates([uid, "doc_id"]).drop(uid)
+        epochs = epochs.join(sizes.drop("copies"), (epochs["uid"] == sizes["uid"]) & epochs["doc_id"].eqNullSafe(sizes["doc_id"])).select(epochs["uid"], epochs["doc_id"], "epoch", "slot", "words", "size")
         epochs = epochs.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.col("size")))))
         epochs = epochs.withColumn("words", F.least("size", F.col("words") - F.col("n") * F.col("size")))
-    epochs = epochs.select(F.col("uid").alias("__uid"), F.col("doc_id").alias("__id"), F.col("words").cast("long").alias("__words"))
-    rows = docs.withColumn("__uid", finger).join(epochs.hint("merge"), "__uid").filter(F.col("doc_id").eqNullSafe(F.col("__id")))
+    epochs = epochs.select(F.col("uid").alias(uid), F.col("doc_id").alias(doc), F.col("words").cast("long").alias(words), F.col("slot").alias(slot), F.col("epoch").alias(epoch))
+    rows = docs.withColumn(uid, finger).join(epochs.hint("merge"), uid).filter(F.col("doc_id").eqNullSafe(F.col(doc)))
     parts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     led = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
-    cut = F.array_join(F.slice(parts, F.lit(1), (F.col("__words") + led).cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("__words") < word_count(F.col("text")), cut).otherwise(F.col("text")))
+    cut = F.array_join(F.slice(parts, F.lit(1), (F.col(words) + led).cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col(words) < word_count(F.col("text")), cut).otherwise(F.col("text")))
     if "n_chars" in own:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*own)
+    # Slots hold equally many words, so ranges of slots are of one size and need no sampling.
+    return rows.repartition(F.shiftright(slot, RANGE_BITS)).sortWithinPartitions(slot, uid, epoch).select(*own)

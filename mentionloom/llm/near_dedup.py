@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, give_back, slices, utf8_buffer
+from .common import durable, fresh, give_back, slices, utf8_buffer
 from .components import connected_components
 from .wordblock import WordBlock, mix
 
@@ -314,8 +314,8 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     return _labelled(docs, rules).drop("set")
 
 
-def _with_digests(docs: DataFrame, rules: NearRules) -> DataFrame:
-    """The rows of ``docs`` with their set digest, __set, as _sketched computes it."""
+def _with_digests(docs: DataFrame, rules: NearRules, digest: str) -> DataFrame:
+    """The rows of ``docs`` with their set digest, as _sketched computes it."""
     own = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +323,10 @@ def _with_digests(docs: DataFrame, rules: NearRules) -> DataFrame:
             for rows in slices(batch):
                 block = WordBlock(*utf8_buffer(rows.column("text")), lower=True)
                 digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in shingle_sets(block, rules.shingle)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(digests, pa.binary())], [*own, "__set"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(digests, pa.binary())], [*own, digest])
         give_back()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__set", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())]))
 
 
 def near_dedup(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
@@ -336,10 +336,13 @@ def near_dedup(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     other row of its doc_id, or without one, along.  Near copies that share a
     doc_id with the one that stays, or lack one all, stay as well.
     """
-    dropped = durable(_labelled(docs, rules).filter("NOT kept").select(F.col("doc_id").alias("__dropped"), F.col("set").alias("__gone")).distinct())
-    ids = dropped.select("__dropped").distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("__dropped"))
+    own = docs.columns
+    digest = fresh(own, "set")
+    lost, gone = fresh([*own, digest], "dropped"), fresh([*own, digest], "gone")
+    dropped = durable(_labelled(docs, rules).filter("NOT kept").select(F.col("doc_id").alias(lost), F.col("set").alias(gone)).distinct())
+    ids = dropped.select(lost).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(lost))
     # Only rows whose doc_id is among those dropped need their digest.
-    doubtful = _with_digests(docs.join(ids, same, "left_semi"), rules)
-    gone = doubtful["doc_id"].eqNullSafe(F.col("__dropped")) & (doubtful["__set"] == F.col("__gone"))
-    return docs.join(ids, same, "left_anti").unionByName(doubtful.join(dropped, gone, "left_anti").drop("__set"))
+    doubtful = _with_digests(docs.join(ids, same, "left_semi"), rules, digest)
+    copy = doubtful["doc_id"].eqNullSafe(F.col(lost)) & (doubtful[digest] == F.col(gone))
+    return docs.join(ids, same, "left_anti").unionByName(doubtful.join(dropped, copy, "left_anti").drop(digest))

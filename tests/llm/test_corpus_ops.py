@@ -298,6 +298,15 @@ def test_near_dedup_drops_rows_not_ids(spark):
     assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[4], rows[5], rows[6]])
 
 
+def test_near_dedup_clashing_names(odd_docs):
+    from pyspark.sql import functions as F
+
+    clash = odd_docs.withColumns({x: F.lit(1) for x in ("__set", "__dropped", "__gone", "set", "root", "n", "registers", "u", "v")})
+    kept = near_dedup.near_dedup(clash)
+    assert kept.columns == clash.columns
+    assert Counter(x.doc_id for x in kept.collect()) == Counter([1, 2, 3, 4, 8, 9, 10, 11, None, 12])
+
+
 def test_near_dedup_odd_rows(odd_docs, no_docs):
     rows = [(x.doc_id, x.text) for x in odd_docs.collect()]
     got = Counter(map(tuple, near_dedup.near_duplicates(odd_docs).collect()))
@@ -382,6 +391,15 @@ def test_language_odd_rows(spark, odd_docs, no_docs):
     assert {x.lang_pred for x in language.language_report(untaught.selectExpr("doc_id", "text", "nullif('x', 'x') AS lang")).collect()} == {"und"}
 
 
+def test_language_filter_without_labels(spark, odd_docs):
+    """A table that teaches nothing loses only what has no letter."""
+    untaught = odd_docs.selectExpr("doc_id", "text", "nullif('x', 'x') AS lang")
+    assert {x.doc_id for x in language.language_filter(untaught).collect()} == {x.doc_id for x in odd_docs.collect()} - {1, 2, 3}
+    many = spark.range(language.MAX_LANGUAGES + 1).selectExpr("id AS doc_id", "'some text' AS text", "string(id) AS lang")
+    with pytest.raises(ValueError, match="languages"):
+        language.learn_profiles(many)
+
+
 # mixing
 
 
@@ -458,6 +476,28 @@ def test_mixed_documents_take_what_the_report_says(odd_docs):
     assert got == +want
 
 
+def test_mixed_documents_come_in_schedule_order(spark):
+    """Any stretch of the rows, as they are written and read again, holds the sources in proportion; names may clash."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"w{i} " * 50, f"s{i % 3}") for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = table.withColumns({x: F.lit(1) for x in ("__uid", "__id", "__words", "__slot", "__epoch", "uid", "slot", "epoch", "words", "size")})
+    for docs in (table, clash, table.unionByName(table.filter("doc_id = 5"))):
+        mixed = mixing.mixed_documents(docs, block_words=25)
+        assert mixed.columns == docs.columns
+        got = mixed.collect()
+        want = Counter()
+        for x in mixing.mix_report(docs, block_words=25).collect():
+            want[x.doc_id] += x.taken
+        assert Counter({d: sum(len(WORDS.findall(x.text)) for x in got if x.doc_id == d) for d in want if want[d]}) == +want
+        order = [x.source for x in got]
+        share = Counter(order)
+        for start in range(0, len(order) - 256, 64):
+            part = Counter(order[start : start + 256])
+            assert all(abs(part[s] - 256 * share[s] / len(order)) <= 12 for s in share)
+
+
 # language model
 
 
