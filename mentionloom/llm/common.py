@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +32,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the files.
+    """Write ``df`` once to the shared checkpoint folder, as Parquet, and go on from the files.
 
     Cuts the lineage without relying on any executor's local disk, so a lost
-    executor costs a reread and no recomputation.
+    executor costs a reread and no recomputation.  The planner knows the size of
+    what it reads again, so loops don't multiply guesses, and only the columns
+    asked for are read.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(taken: list[str], name: str) -> str:

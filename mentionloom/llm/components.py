@@ -17,16 +17,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """From undirected edges (u, v) to (node, root), root the least node that node reaches.
 
     Every step joins edges with the least neighbour of each node, which combines
-    before it shuffles, so a node with many edges is no burden; the lineage is cut
-    in the shared checkpoint folder.  Nodes without an edge are not returned.
+    before it shuffles.  Those least neighbours are settled first, so the joins read
+    plain shuffles on both sides and adaptive execution can split a star's centre.  The
+    lineage is cut in the shared checkpoint folder.  Nodes without an edge are not returned.
     """
     edges = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = durable(large)
+        down = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = durable(moved.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)

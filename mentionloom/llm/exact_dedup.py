@@ -9,7 +9,14 @@ repeats and a few false alarms, meet by digest.
 
 The plane that is broadcast has a size bound (``max_bits``).  Under the bound it
 has about ``bits_per_row`` bits a row; beyond, more rows raise false alarms and
-shuffle, until in the limit all do: results are the same at any size.
+their digests (40 bytes a row, no text) shuffle, until in the limit all do:
+results are the same at any size.  ``exact_dedup``, which moves texts, makes a
+second plane of the digests that did repeat, whose size follows their number
+alone, so unique texts pass straight through however full the first plane is.
+
+A digest that many rows share is hot.  At most ``HOT_SHARE`` digests can each
+hold more than one in ``HOT_SHARE`` of the repeats; those are broadcast, and their
+rows need no shuffle.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ MAX_BITS = 1 << 29
 #: Bits that one merge task holds.
 SEGMENT = 1 << 20
 HASHES = 2
+#: A digest is hot with more than one in so many of all repeats, so no more digests than this are.
+HOT_SHARE = 1000
 
 
 def _digests(column: pa.Array) -> list[bytes]:
@@ -57,8 +66,8 @@ def plane_bits(rows: int, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_
     return min(max_bits, max(SEGMENT, 1 << max(1, rows * bits_per_row - 1).bit_length()))
 
 
-def repeat_plane(digests: DataFrame, rows: int, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Packed bits of the plane "seen again" over the only column of ``digests``.
+def repeat_plane(digests: DataFrame, rows: int, max_bits: int = MAX_BITS, least: int = 2) -> np.ndarray:
+    """Packed bits of the plane "seen again" over the only column of ``digests``; with least=1, of the plane "seen".
 
     At most ``max_bits`` bits reach the driver.
     """
@@ -74,7 +83,7 @@ def repeat_plane(digests: DataFrame, rows: int, max_bits: int = MAX_BITS) -> np.
             place = (at % np.uint64(SEGMENT)).astype("<u4")
             cuts = np.flatnonzero(np.diff(segment)) + 1
             heads = np.concatenate([[0], cuts]) if len(at) else np.zeros(0, np.int64)
-            parts = list(zip(np.split(place, cuts), np.split(times > 1, cuts), strict=True)) if len(at) else []
+            parts = list(zip(np.split(place, cuts), np.split(times >= least, cuts), strict=True)) if len(at) else []
             columns = [pa.array(segment[heads]), pa.array([x.tobytes() for x, _ in parts], pa.binary()), pa.array([x[t].tobytes() for x, t in parts], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["segment", "once", "twice"])
 
@@ -120,6 +129,24 @@ def flag_repeats(df: DataFrame, plane: np.ndarray, digest: str, flag: str) -> Da
     return df.withColumn(flag, maybe(F.col(digest)))
 
 
+def _hot(groups: DataFrame) -> DataFrame:
+    """The groups that hold more than one in HOT_SHARE of the repeats: fewer than HOT_SHARE rows."""
+    every = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")).first()["n"]
+    return groups.filter(F.col("group_size") * HOT_SHARE > every)
+
+
+def _meet(rows: DataFrame, groups: DataFrame, digest: str) -> DataFrame:
+    """Join rows with the group of their digest: the hot ones by broadcast, the rest by shuffle."""
+    hot = durable(_hot(groups))
+    cold = groups.join(F.broadcast(hot), digest, "left_anti")
+    rest = rows.join(F.broadcast(hot.select(digest)), digest, "left_anti").join(cold, digest)
+    return rows.join(F.broadcast(hot), digest).unionByName(rest)
+
+
+def _groups(thin: DataFrame, doc: str, digest: str) -> DataFrame:
+    return durable(thin.groupBy(digest).agg(F.max(doc).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
+
+
 def duplicate_report(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row a row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -130,25 +157,39 @@ def duplicate_report(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     thin = durable(docs.select("doc_id", text_digest("text").alias("sha")))
     thin = flag_repeats(thin, repeat_plane(thin.select("sha"), thin.count(), max_bits), "sha", "again")
-    alone = thin.filter(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
-    again = thin.filter("again").select("doc_id", "sha")
-    groups = again.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    met = again.join(groups, "sha").select("doc_id", "keep_id", "group_size", "sha")
-    return alone.unionByName(met).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    again = durable(thin.filter("again").select("doc_id", "sha"))
+    groups = _groups(again, "doc_id", "sha")
+    one = [F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")]
+    alone = thin.filter(~F.col("again")).select("doc_id", *one, "sha")
+    false_alarms = again.join(groups, "sha", "left_anti").select("doc_id", *one, "sha")
+    met = _meet(again, groups, "sha").select("doc_id", "keep_id", "group_size", "sha")
+    rows = alone.unionByName(false_alarms).unionByName(met)
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see duplicate_report.
 
-    Of rows that share both doc_id and text, one stays.
+    Of rows that share both doc_id and text, one stays.  Losers of hot digests are
+    dropped where they are read; texts that do not repeat never shuffle.
     """
     own = docs.columns
-    sha, again, keep = (fresh(own, x) for x in ("sha", "again", "keep"))
+    sha, again = fresh(own, "sha"), fresh(own, "again")
+    keep = fresh(own, "keep")
     digest = text_digest(F.col("text")).alias(sha)
-    thin = durable(docs.select(F.col("doc_id").alias(keep), digest))
-    plane = repeat_plane(thin.select(sha), thin.count(), max_bits)
-    winners = flag_repeats(thin, plane, sha, again).filter(again).groupBy(sha).agg(F.max(keep).alias(keep))
+    thin = durable(docs.select("doc_id", digest))
+    alarms = flag_repeats(thin, repeat_plane(thin.select(sha), thin.count(), max_bits), sha, again).filter(again)
+    groups = _groups(alarms, "doc_id", sha)
+    plane = repeat_plane(groups.select(sha), groups.count(), max_bits, least=1)
     rows = flag_repeats(docs.select("*", digest), plane, sha, again)
     alone = rows.filter(~F.col(again)).select(*own)
-    met = rows.filter(again).join(winners, sha).filter(F.col("doc_id").eqNullSafe(F.col(keep)))
-    return alone.unionByName(met.dropDuplicates([sha]).select(*own))
+    hot = durable(_hot(groups).select(sha, F.col("keep_id").alias(keep)))
+    cold = groups.select(sha, F.col("keep_id").alias(keep)).join(F.broadcast(hot.select(sha)), sha, "left_anti")
+    stays = F.col("doc_id").eqNullSafe(F.col(keep))
+    again_rows = rows.filter(again).drop(again)
+    hot_rows = again_rows.join(F.broadcast(hot), sha).filter(stays).dropDuplicates([sha])
+    # A row that only raised a false alarm has no group: it stays, and no other row has its digest.
+    met = fresh(own, "met")
+    rest = again_rows.join(F.broadcast(hot.select(sha)), sha, "left_anti").join(cold.withColumn(met, F.lit(True)), sha, "left")
+    rest = rest.filter(F.col(met).isNull() | stays).dropDuplicates([sha])
+    return alone.unionByName(hot_rows.select(*own)).unionByName(rest.select(*own))

@@ -10,8 +10,11 @@ equal about as often as the sets overlap.
 3. Inside a bucket, two classes are compared only in the first band they share.
    The similarity is estimated by maximum likelihood from how many registers are
    larger, smaller and equal, given both set sizes; pairs clearly below the
-   threshold go.  A bucket too large for one task is cut into chunks, and every
-   two chunks meet as a block of their own: no cap, no pair lost.
+   threshold go.  A bucket too large for one task is cut into chunks, first
+   compared each in itself; then one class of each component meets those of the
+   others; what is still unconnected after that meets in blocks of two chunks,
+   where components that fill a chunk or more keep chunks of their own and skip
+   themselves: no cap, no pair lost, and no square of a group that holds together.
 4. For blocks with a likely pair, the full sets are fetched and every pair is
    verified, the likeliest first, skipping those that are connected already.
 5. Verified links are joined to components.
@@ -28,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +48,9 @@ class NearRules:
     bands: int = 32
     rows: int = 8
     base: float = 1.1
-    #: Classes of a bucket that one task compares at once; twice as many meet in a block.
+    #: Classes of a bucket that one task compares at once, about, and the bytes of their sets; twice as many meet in a block.
     chunk: int = 512
+    chunk_bytes: int = 16 << 20
 
     @property
     def registers(self) -> int:
@@ -153,38 +157,49 @@ def _sets(docs: DataFrame, rules: NearRules) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set binary, members binary")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows and about 16 MB of sets."""
+    for batch in batches:
+        column = "members" if "members" in batch.schema.names else "registers"
+        for rows in slices(batch, column, 1 << 24):
+            for start in range(0, rows.num_rows, rows_at_once):
+                yield rows.slice(start, rows_at_once)
+
+
 def _whole_blocks(batches: Iterator[pa.RecordBatch], rows_at_once: int = 2048) -> Iterator[pa.Table]:
     """Runs of whole blocks from batches that are sorted by block."""
     key = ["bucket", "low", "high"]
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows_at_once):
-            part = batch.slice(start, rows_at_once)
-            columns = [part.column(x).to_numpy() for x in key]
-            new = np.zeros(part.num_rows, bool)
-            for x in columns:
-                new[1:] |= x[1:] != x[:-1]
-            if held and any(held[-1].column(x)[-1].as_py() != c[0] for x, c in zip(key, columns, strict=True)):
-                new[0] = True
-            cuts = np.flatnonzero(new)
-            if len(cuts):
-                if held or cuts[-1]:
-                    yield pa.Table.from_batches([*held, part.slice(0, cuts[-1])])
-                held = [part.slice(cuts[-1])]
-            else:
-                held.append(part)
+    for part in _parts(batches, rows_at_once):
+        columns = [part.column(x).to_numpy() for x in key]
+        new = np.zeros(part.num_rows, bool)
+        for x in columns:
+            new[1:] |= x[1:] != x[:-1]
+        if held and any(held[-1].column(x)[-1].as_py() != c[0] for x, c in zip(key, columns, strict=True)):
+            new[0] = True
+        cuts = np.flatnonzero(new)
+        if len(cuts):
+            if held or cuts[-1]:
+                yield pa.Table.from_batches([*held, part.slice(0, cuts[-1])])
+            held = [part.slice(cuts[-1])]
+        else:
+            held.append(part)
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _likely_pairs(rows: pa.Table, rules: NearRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows (i, j) of the same block whose estimate is worth a verification, with it."""
+def _likely_pairs(rows: pa.Table, rules: NearRules, first_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (i, j) of the same block and different roots whose estimate is worth a verification, with it.
+
+    first_only: leave pairs that share an earlier band to that band's bucket.
+    """
     n = rows.num_rows
     registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint8).reshape(n, rules.registers)
     bands = registers.view(np.uint64) if rules.rows == 8 else None
     band, sizes = rows.column("band").to_numpy(), rows.column("n").to_numpy()
     chunk, low, high = (rows.column(x).to_numpy() for x in ("chunk", "low", "high"))
     bucket = rows.column("bucket").to_numpy()
+    root = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     first = np.ones(n, bool)
     first[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     start = np.flatnonzero(first)
@@ -194,7 +209,7 @@ def _likely_pairs(rows: pa.Table, rules: NearRules) -> tuple[np.ndarray, np.ndar
     for step in range(1, int((ends - np.arange(n)).max(initial=1))):
         i = np.flatnonzero(np.arange(n) + step < ends)
         j = i + step
-        keep = (low[i] == high[i]) | (chunk[i] != chunk[j])
+        keep = ((low[i] == high[i]) | (chunk[i] != chunk[j])) & (root[i] != root[j])
         keep &= np.minimum(sizes[i], sizes[j]) * 100 >= rules.percent * np.maximum(sizes[i], sizes[j])
         i, j = i[keep], j[keep]
         for k in range(0, len(i), 4096):
@@ -205,12 +220,13 @@ def _likely_pairs(rows: pa.Table, rules: NearRules) -> tuple[np.ndarray, np.ndar
             if not ok.any():
                 continue
             a, b, ra, rb = a[ok], b[ok], ra[ok], rb[ok]
-            if bands is not None:
-                shared = bands[a] == bands[b]
-            else:
-                shared = (ra == rb).reshape(len(a), rules.bands, rules.rows).all(axis=2)
-            ok = shared.argmax(axis=1) == band[a]  # in earlier bands they didn't meet
-            a, b, ra, rb = a[ok], b[ok], ra[ok], rb[ok]
+            if first_only:
+                if bands is not None:
+                    shared = bands[a] == bands[b]
+                else:
+                    shared = (ra == rb).reshape(len(a), rules.bands, rules.rows).all(axis=2)
+                ok = shared.argmax(axis=1) == band[a]
+                a, b, ra, rb = a[ok], b[ok], ra[ok], rb[ok]
             likely = estimate((ra > rb).sum(axis=1), (ra < rb).sum(axis=1), rules.registers, sizes[a], sizes[b], rules.base)
             ok = likely >= rules.floor
             found.append((a[ok], b[ok], likely[ok]))
@@ -223,26 +239,26 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
 
-def _flagged(blocks: DataFrame, rules: NearRules) -> DataFrame:
-    """The rows of blocks that take part in a likely pair: bucket, low, high, chunk, band, set."""
-    names = ["bucket", "low", "high", "chunk", "band", "set"]
+def _flagged(blocks: DataFrame, rules: NearRules, first_only: bool) -> DataFrame:
+    """The rows of blocks that take part in a likely pair: bucket, low, high, chunk, band, root, set."""
+    names = ["bucket", "low", "high", "chunk", "band", "root", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_blocks(batches):
-            i, j, _ = _likely_pairs(rows, rules)
+            i, j, _ = _likely_pairs(rows, rules, first_only)
             if len(i):
                 yield from rows.take(pa.array(np.unique(np.concatenate([i, j])))).select(names).to_batches()
         give_back()
 
-    return _in_blocks(blocks).mapInArrow(run, "bucket long, low int, high int, chunk int, band int, set binary")
+    return _in_blocks(blocks).mapInArrow(run, "bucket long, low int, high int, chunk int, band int, root binary, set binary")
 
 
-def _links(blocks: DataFrame, rules: NearRules) -> DataFrame:
+def _links(blocks: DataFrame, rules: NearRules, first_only: bool) -> DataFrame:
     """Verified links (u, v) that connect what is connected inside each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_blocks(batches):
-            i, j, likely = _likely_pairs(rows, rules)
+            i, j, likely = _likely_pairs(rows, rules, first_only)
             order = np.argsort(-likely, kind="stable")
             digests = rows.column("set").to_pylist()
             members = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("members")]
@@ -273,29 +289,74 @@ def _links(blocks: DataFrame, rules: NearRules) -> DataFrame:
     return _in_blocks(blocks).mapInArrow(run, "u binary, v binary")
 
 
+def _verified(blocks: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRules, first_only: bool = True) -> DataFrame:
+    """Links (u, v) that connect, with ``root``s given, what is connected inside each block, settled.
+
+    blocks: bucket, low, high, chunk, band, root, set.
+    """
+    own = classes.select("set", "n", "registers")
+    flagged = durable(_flagged(blocks.join(own, "set"), rules, first_only))
+    needed = flagged.select("set").distinct()
+    sources = classes.join(needed, "set", "left_semi").select("rep").distinct()
+    texts = docs.select("doc_id", "text").join(sources, docs["doc_id"].eqNullSafe(sources["rep"]), "left_semi")
+    sets = durable(_sets(texts, rules).groupBy("set").agg(F.any_value("members").alias("members")))
+    return durable(_links(flagged.join(own, "set").join(sets, "set"), rules, first_only))
+
+
+def _chunks(rules: NearRules, rows: str, members: str):
+    return F.greatest(F.ceil(F.col(rows) / rules.chunk), F.ceil(F.col(members) * 8 / rules.chunk_bytes)).cast("int")
+
+
+def _rooted(wide: DataFrame, links: DataFrame) -> DataFrame:
+    return durable(wide.join(connected_components(links), F.col("set") == F.col("node"), "left").select("bucket", "band", "set", "n", F.coalesce("root", "set").alias("root")))
+
+
+def _across_chunks(wide: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
+    """The links that buckets of several chunks (wide: bucket, band, set, n) need beside those inside chunks; with the latter."""
+    # One class of each component and bucket meets those of the others, so that a group that holds together becomes one component.
+    heads = _rooted(wide, links).groupBy("bucket", "band", "root").agg(F.min_by(F.struct("set", "n"), "set").alias("head")).select("bucket", "band", "root", "head.*")
+    many = durable(heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("members")).filter("held > 1"))
+    heads = heads.join(many, "bucket").withColumn("chunk", F.pmod(F.xxhash64("set"), _chunks(rules, "held", "members")).cast("int"))
+    links = links.unionByName(_verified(heads.select("bucket", F.col("chunk").alias("low"), F.col("chunk").alias("high"), "chunk", "band", "root", "set"), classes, docs, rules, first_only=False))
+    # What stays apart meets pairwise; a component that fills a chunk has chunks of its own, which never meet each other.
+    rooted = _rooted(wide, links)
+    parts = durable(rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("members")).withColumn("large", (F.col("held") * 2 >= rules.chunk) | (F.col("members") * 16 >= rules.chunk_bytes)))
+    small = F.when(~F.col("large"), F.col("held")), F.when(~F.col("large"), F.col("members"))
+    apart = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.sum(small[0]).alias("held"), F.sum(small[1]).alias("members")).filter("roots > 1")
+    apart = durable(apart.select("bucket", F.coalesce(_chunks(rules, "held", "members"), F.lit(0)).alias("mixed")))
+    # Few components of a bucket are large: at most two for each chunk's worth of rows.
+    order = Window.partitionBy("bucket").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    large = parts.filter("large").join(apart, "bucket").withColumn("own", _chunks(rules, "held", "members"))
+    large = durable(large.select("bucket", "root", "own", (F.col("mixed") + F.coalesce(F.sum("own").over(order), F.lit(0))).cast("int").alias("from")))
+    total = large.groupBy("bucket").agg(F.sum("own").alias("more"))
+    apart = durable(apart.join(total, "bucket", "left").select("bucket", "mixed", (F.col("mixed") + F.coalesce("more", F.lit(0))).cast("int").alias("total")))
+    rows = rooted.join(apart, "bucket").join(large, ["bucket", "root"], "left")
+    mine = F.col("from") + F.pmod(F.xxhash64("set"), F.col("own"))
+    rows = rows.withColumn("chunk", F.coalesce(mine, F.pmod(F.xxhash64("root"), F.col("mixed"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: F.col("from").isNull() | (x < F.col("from")) | (x >= F.col("from") + F.col("own")))
+    rows = rows.withColumn("other", F.explode(others))
+    blocks = rows.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "band", "root", "set")
+    return links.unionByName(_verified(blocks, classes, docs, rules))
+
+
 def _labelled(docs: DataFrame, rules: NearRules) -> DataFrame:
     """As near_duplicates, with the set digest (null for empty sets)."""
     thin = durable(_sketched(docs, rules))
     classes = durable(thin.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("registers").alias("registers")))
     pieces = F.transform(F.sequence(F.lit(0), F.lit(rules.bands - 1)), lambda k: F.substring("registers", k * rules.rows + 1, F.lit(rules.rows)))
-    bands = classes.select("set", F.posexplode(pieces).alias("band", "piece")).select("set", "band", F.xxhash64("band", "piece").alias("bucket"))
+    bands = classes.select("set", "n", F.posexplode(pieces).alias("band", "piece")).select("set", "n", "band", F.xxhash64("band", "piece").alias("bucket"))
     # Durable, so that the join below has a shuffle of its own on both sides and a hot bucket can be split.
-    many = durable(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
-    chunks = F.ceil(F.col("held") / rules.chunk).cast("int")
-    rows = bands.join(many, "bucket").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "band", "set")
-    own = classes.select("set", "n", "registers")
-    flagged = durable(_flagged(rows.join(own, "set"), rules))
-    needed = flagged.select("set").distinct()
-    sources = classes.join(needed, "set", "left_semi").select("rep").distinct()
-    texts = docs.select("doc_id", "text").join(sources, docs["doc_id"].eqNullSafe(sources["rep"]), "left_semi")
-    sets = durable(_sets(texts, rules).groupBy("set").agg(F.any_value("members").alias("members")))
-    links = _links(flagged.join(own, "set").join(sets, "set"), rules)
+    many = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("members")).filter("held > 1")
+    many = durable(many.select("bucket", _chunks(rules, "held", "members").alias("chunks")))
+    rows = bands.join(many, "bucket").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
+    links = _verified(rows.select("bucket", F.col("chunk").alias("low"), F.col("chunk").alias("high"), "chunk", "band", F.col("set").alias("root"), "set"), classes, docs, rules)
+    if many.filter("chunks > 1").limit(1).count():
+        wide = durable(bands.join(many.filter("chunks > 1"), "bucket").select("bucket", "band", "set", "n"))
+        links = _across_chunks(wide, links, classes, docs, rules)
     roots = connected_components(links)
     labelled = durable(classes.select("set", "rep").join(roots, F.col("set") == F.col("node"), "left").select("set", "rep", F.coalesce("root", "set").alias("root")))
-    least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = labelled.join(least, "root").select("set", "component_id")
+    least = durable(labelled.groupBy("root").agg(F.min("rep").alias("component_id")))
+    labels = durable(labelled.join(least, "root").select("set", "component_id"))
     out = thin.join(labels, "set", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "set", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -281,9 +281,17 @@ def test_near_dedup_large_group_in_chunks(spark):
             words[at] = f"x{rng.integers(0, 10**9)}"
         rows.append((i, " ".join(words)))
     rows += [(1000 + i, rows[i % 7][1]) for i in range(60)]
-    rules = near_dedup.NearRules(shingle=3, percent=85, chunk=37)
+    # A second group whose members share bands and stay apart, so that chunks must meet.
+    loose = [f"v{i}" for i in range(120)]
+    for i in range(150):
+        words = list(loose)
+        for at in rng.choice(120, rng.integers(3, 14), replace=False):
+            words[at] = f"y{rng.integers(0, 10**9)}"
+        rows.append((2000 + i, " ".join(words)))
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(map(tuple, near_dedup.near_duplicates(table, rules).collect())) == brute_components(rows, 3, 85)
+    want = brute_components(rows, 3, 85)
+    for rules in (near_dedup.NearRules(shingle=3, percent=85, chunk=37), near_dedup.NearRules(shingle=3, percent=85, chunk=11, chunk_bytes=20_000)):
+        assert Counter(map(tuple, near_dedup.near_duplicates(table, rules).collect())) == want
 
 
 def test_near_dedup_drops_rows_not_ids(spark):

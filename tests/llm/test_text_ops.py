@@ -61,6 +61,23 @@ def test_exact_dedup_odd_rows(odd_docs, no_docs):
     assert duplicate_report(no_docs).count() == exact_dedup(no_docs).count() == 0
 
 
+def test_exact_dedup_hot_group(spark, monkeypatch):
+    """A digest with most of the rows, among many small groups and unique texts, also without doc_ids; a full plane too."""
+    from mentionloom.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "HOT_SHARE", 3)
+    rows = [(None if i % 5 == 0 else i, "Hot text") for i in range(300)] + [(1000 + i, f"pair {i // 2}") for i in range(60)] + [(2000 + i, f"one {i}") for i in range(40)] + [(None, "hot text"), (7, "HOT text")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_report(rows)
+    for bits in (1 << 20, 1 << 29):
+        assert Counter(map(tuple, duplicate_report(table, max_bits=bits).collect())) == want
+        assert sorted(x.doc_id for x in exact_dedup(table, max_bits=bits).collect()) == sorted([299, *range(1001, 1060, 2), *range(2000, 2040)])
+    nobody = spark.createDataFrame([(None, "x")] * 9 + [(None, "y")], "doc_id long, text string")
+    assert sorted(x.text for x in exact_dedup(nobody).collect()) == ["x", "y"]
+    monkeypatch.setattr(module, "_positions", lambda digests, bits: np.zeros((len(digests), module.HASHES), np.uint64))
+    assert sorted(x.text for x in exact_dedup(nobody).collect()) == ["x", "y"]
+
+
 def test_saturated_filter_changes_nothing(odd_docs):
     """Beyond the size bound every row raises an alarm; results stay."""
     assert Counter(duplicate_report(odd_docs, max_bits=1 << 20).collect()) == Counter(duplicate_report(odd_docs).collect())
