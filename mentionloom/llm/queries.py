@@ -82,7 +82,7 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = backoff_scores(documents(spark, sf_dir))
-    return rows.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+    return rows.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"), "longest_known")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -549,3 +549,57 @@ def test_lm_blocks_and_odd_rows(odd_docs, no_docs):
         assert [x[:2] for x in got] == [x[:2] for x in want]
         assert all(a[2] == b[2] or a[2] == pytest.approx(b[2], abs=2e-3) for a, b in zip(got, want, strict=True))
     assert lm_scoring.backoff_scores(no_docs).count() == 0
+
+
+def test_lm_scores_other_texts_by_a_count_table(spark, odd_docs, no_docs, docs):
+    """The relational form: counts of one corpus, texts of another, against plain Python."""
+    corpus = spark.createDataFrame([(x["doc_id"], x["text"]) for x in docs[:60]], "doc_id long, text string")
+    counts = lm_scoring.count_table(corpus)
+    grams, everything = Counter(), 0
+    for x in docs[:60]:
+        w = WORDS.findall(lower(x["text"]))
+        everything += len(w)
+        grams += Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    assert sorted(x["count"] for x in counts.collect()) == sorted([*grams.values(), everything])
+
+    def score(text):
+        w, total = WORDS.findall(lower(text)), 0.0
+        for i in range(len(w)):
+            cost = 0.0
+            for n in range(min(3, i + 1), 0, -1):
+                g = tuple(w[i - n + 1 : i + 1])
+                if grams[g]:
+                    total += cost + math.log(grams[g] / (grams[g[:-1]] if n > 1 else everything))
+                    break
+                total += cost + math.log(1 / (everything + 1)) if n == 1 else 0
+                cost += math.log(0.4)
+        return (len(w), total) if w else (0, None)
+
+    for table, texts in ((odd_docs, [(x.doc_id, x.text) for x in odd_docs.collect()]), (corpus, [(x["doc_id"], x["text"]) for x in docs[:60]])):
+        got = sorted(((x.doc_id, x.n_words, x.log_score) for x in lm_scoring.score_texts(table, counts).collect()), key=repr)
+        want = sorted(((d, *score(t)) for d, t in texts), key=repr)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert all(a[2] == pytest.approx(b[2], abs=1e-3) for a, b in zip(got, want, strict=True))
+    assert lm_scoring.score_texts(no_docs, counts).count() == lm_scoring.count_table(no_docs).count() == 0
+
+
+def test_lm_shows_passages_that_repeat(spark):
+    rng = np.random.default_rng(2)
+
+    def filler(n):
+        return " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+
+    passage = filler(60)
+    rows = [(i, f"{filler(40)} {passage} {filler(20)}" if i % 3 == 0 else filler(100)) for i in range(30)]
+    got = {x.doc_id: x.longest_known for x in lm_scoring.backoff_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 60 if i % 3 == 0 else 0 for i in range(30)}
+
+
+def test_lm_equal_rows_from_many_places(spark):
+    """A third of all rows equal in doc_id and text: they need not meet in one block."""
+    rows = [(None, "the same words again and again")] * 40 + [(i, f"w{i} the same x{i}") for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    rules = lm_scoring.BackoffRules(block_bytes=200, partition_grams=50)
+    got = sorted(((x.doc_id, x.n_words, round(x.log_score, 4)) for x in lm_scoring.backoff_scores(table, rules).collect()), key=repr)
+    want = sorted(brute_scores(rows).elements(), key=repr)
+    assert all(a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-3) for a, b in zip(got, want, strict=True))
