@@ -1,13 +1,51 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps.
+
+A bounded number of edges (``SMALL_EDGES``, checked) is joined by union-find in
+one task instead, which spares the steps' jobs; both ways give the same roots.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 
 
+#: Edges that one task joins at most, about 60 MB there.
+SMALL_EDGES = 200_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, node_type = [], pa.null()
+        for batch in batches:
+            node_type = batch.schema.field("u").type
+            pairs += zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)
+        nodes = sorted({x for pair in pairs for x in pair})
+        code = {x: i for i, x in enumerate(nodes)}
+        parent = list(range(len(nodes)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for u, v in pairs:
+            a, b = root(code[u]), root(code[v])
+            parent[max(a, b)] = min(a, b)
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, node_type), pa.array([nodes[root(i)] for i in range(len(nodes))], node_type)], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"]
@@ -22,6 +60,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     lineage is cut in the shared checkpoint folder.  Nodes without an edge are not returned.
     """
     edges = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    if edges.count() <= SMALL_EDGES:
+        return _in_one_task(edges)
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

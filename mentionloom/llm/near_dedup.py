@@ -11,8 +11,8 @@ equal about as often as the sets overlap.
    The similarity is estimated by maximum likelihood from how many registers are
    larger, smaller and equal, given both set sizes; pairs clearly below the
    threshold go.  A bucket too large for one task is cut into chunks, first
-   compared each in itself; then one class of each component meets those of the
-   others; what is still unconnected after that meets in blocks of two chunks,
+   compared each in itself (and dealt anew in every bucket); where a bucket still
+   holds several large components, one class of each meets those of the others; what is still unconnected after that meets in blocks of two chunks,
    where components that fill a chunk or more keep chunks of their own and skip
    themselves: no cap, no pair lost, and no square of a group that holds together.
 4. For blocks with a likely pair, the full sets are fetched and every pair is
@@ -114,14 +114,23 @@ def estimate(larger: np.ndarray, smaller: np.ndarray, registers: int, n_a: np.nd
     def chance(x):
         return -np.log1p(-np.maximum(x, 1e-9) * (base - 1) / base) / np.log(base)
 
-    best, at = np.full(len(u), -np.inf), np.zeros(len(u))
-    for step in np.linspace(0, 1, 101):
-        j = step * most
+    best, at = np.full(len(u), -np.inf), np.zeros(len(u), np.int64)
+
+    def look(step):
+        nonlocal best, at
+        j = step / 100 * most
         p, q = chance(u - v * j), chance(v - u * j)
         score = larger * np.log(p) + smaller * np.log(q) + equal * np.log(np.maximum(1 - p - q, 1e-12))
-        at = np.where(score > best, j, at)
+        at = np.where(score > best, step, at)
         best = np.maximum(best, score)
-    return at
+
+    # The likelihood has one peak: every tenth of a grid of 101, then the grid around the best of them.
+    for step in range(0, 101, 10):
+        look(np.full(len(u), step))
+    middle = at
+    for step in range(-9, 10):
+        look(np.clip(middle + step, 0, 100))
+    return at / 100 * most
 
 
 def _sketched(docs: DataFrame, rules: NearRules) -> DataFrame:
@@ -158,10 +167,10 @@ def _sets(docs: DataFrame, rules: NearRules) -> DataFrame:
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut to so many rows and about 16 MB of sets."""
+    """Batches cut to so many rows and about 8 MB of sets."""
     for batch in batches:
         column = "members" if "members" in batch.schema.names else "registers"
-        for rows in slices(batch, column, 1 << 24):
+        for rows in slices(batch, column, 1 << 23):
             for start in range(0, rows.num_rows, rows_at_once):
                 yield rows.slice(start, rows_at_once)
 
@@ -313,24 +322,35 @@ def _rooted(wide: DataFrame, links: DataFrame) -> DataFrame:
 
 def _across_chunks(wide: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
     """The links that buckets of several chunks (wide: bucket, band, set, n) need beside those inside chunks; with the latter."""
-    # One class of each component and bucket meets those of the others, so that a group that holds together becomes one component.
-    heads = _rooted(wide, links).groupBy("bucket", "band", "root").agg(F.min_by(F.struct("set", "n"), "set").alias("head")).select("bucket", "band", "root", "head.*")
-    many = durable(heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("members")).filter("held > 1"))
-    heads = heads.join(many, "bucket").withColumn("chunk", F.pmod(F.xxhash64("set"), _chunks(rules, "held", "members")).cast("int"))
-    links = links.unionByName(_verified(heads.select("bucket", F.col("chunk").alias("low"), F.col("chunk").alias("high"), "chunk", "band", "root", "set"), classes, docs, rules, first_only=False))
-    # What stays apart meets pairwise; a component that fills a chunk has chunks of its own, which never meet each other.
+    sizes = F.count(F.lit(1)).alias("held"), F.sum("n").alias("members")
+    is_large = (F.col("held") * 2 >= rules.chunk) | (F.col("members") * 16 >= rules.chunk_bytes)
+
+    def parted(rooted: DataFrame) -> DataFrame:
+        return durable(rooted.groupBy("bucket", "root").agg(*sizes).withColumn("large", is_large))
+
     rooted = _rooted(wide, links)
-    parts = durable(rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("members")).withColumn("large", (F.col("held") * 2 >= rules.chunk) | (F.col("members") * 16 >= rules.chunk_bytes)))
+    parts = parted(rooted)
+    several = parts.filter("large").groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
+    if several.limit(1).count():
+        # One class of each component and bucket meets those of the others, so that a group that holds together becomes one component.
+        heads = rooted.join(several, "bucket", "left_semi").groupBy("bucket", "band", "root").agg(F.min_by(F.struct("set", "n"), "set").alias("head"))
+        heads = durable(heads.select("bucket", "band", "root", "head.*"))
+        many = heads.groupBy("bucket").agg(*sizes).filter("held > 1")
+        heads = heads.join(many, "bucket").withColumn("chunk", F.pmod(F.xxhash64("set"), _chunks(rules, "held", "members")).cast("int"))
+        links = links.unionByName(_verified(heads.select("bucket", F.col("chunk").alias("low"), F.col("chunk").alias("high"), "chunk", "band", "root", "set"), classes, docs, rules, first_only=False))
+        rooted = _rooted(wide, links)
+        parts = parted(rooted)
+    # What stays apart meets pairwise; a component that fills a chunk has chunks of its own, which never meet each other.
     small = F.when(~F.col("large"), F.col("held")), F.when(~F.col("large"), F.col("members"))
     apart = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.sum(small[0]).alias("held"), F.sum(small[1]).alias("members")).filter("roots > 1")
-    apart = durable(apart.select("bucket", F.coalesce(_chunks(rules, "held", "members"), F.lit(0)).alias("mixed")))
+    apart = apart.select("bucket", F.coalesce(_chunks(rules, "held", "members"), F.lit(0)).alias("mixed"))
     # Few components of a bucket are large: at most two for each chunk's worth of rows.
     order = Window.partitionBy("bucket").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
-    large = parts.filter("large").join(apart, "bucket").withColumn("own", _chunks(rules, "held", "members"))
-    large = durable(large.select("bucket", "root", "own", (F.col("mixed") + F.coalesce(F.sum("own").over(order), F.lit(0))).cast("int").alias("from")))
+    large = parts.filter("large").withColumn("own", _chunks(rules, "held", "members"))
+    large = large.select("bucket", "root", "own", F.coalesce(F.sum("own").over(order), F.lit(0)).cast("int").alias("from"))
     total = large.groupBy("bucket").agg(F.sum("own").alias("more"))
     apart = durable(apart.join(total, "bucket", "left").select("bucket", "mixed", (F.col("mixed") + F.coalesce("more", F.lit(0))).cast("int").alias("total")))
-    rows = rooted.join(apart, "bucket").join(large, ["bucket", "root"], "left")
+    rows = rooted.join(apart, "bucket").join(durable(large), ["bucket", "root"], "left").withColumn("from", F.col("from") + F.col("mixed"))
     mine = F.col("from") + F.pmod(F.xxhash64("set"), F.col("own"))
     rows = rows.withColumn("chunk", F.coalesce(mine, F.pmod(F.xxhash64("root"), F.col("mixed"))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: F.col("from").isNull() | (x < F.col("from")) | (x >= F.col("from") + F.col("own")))
@@ -348,7 +368,8 @@ def _labelled(docs: DataFrame, rules: NearRules) -> DataFrame:
     # Durable, so that the join below has a shuffle of its own on both sides and a hot bucket can be split.
     many = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("members")).filter("held > 1")
     many = durable(many.select("bucket", _chunks(rules, "held", "members").alias("chunks")))
-    rows = bands.join(many, "bucket").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
+    # Every bucket deals its chunks anew, so the bands unite a group across its chunks.
+    rows = bands.join(many, "bucket").withColumn("chunk", F.pmod(F.xxhash64("set", "bucket"), F.col("chunks")).cast("int"))
     links = _verified(rows.select("bucket", F.col("chunk").alias("low"), F.col("chunk").alias("high"), "chunk", "band", F.col("set").alias("root"), "set"), classes, docs, rules)
     if many.filter("chunks > 1").limit(1).count():
         wide = durable(bands.join(many.filter("chunks > 1"), "bucket").select("bucket", "band", "set", "n"))
@@ -356,7 +377,7 @@ def _labelled(docs: DataFrame, rules: NearRules) -> DataFrame:
     roots = connected_components(links)
     labelled = durable(classes.select("set", "rep").join(roots, F.col("set") == F.col("node"), "left").select("set", "rep", F.coalesce("root", "set").alias("root")))
     least = durable(labelled.groupBy("root").agg(F.min("rep").alias("component_id")))
-    labels = durable(labelled.join(least, "root").select("set", "component_id"))
+    labels = labelled.join(least, "root").select("set", "component_id")
     out = thin.join(labels, "set", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "set", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -335,7 +335,11 @@ def test_sketches_merge_and_estimate():
     assert abs(got[0] - 1800 / 2200) < 0.08
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_of_a_long_path_and_a_star(spark, monkeypatch, small):
+    from mentionloom.llm import components
+
+    monkeypatch.setattr(components, "SMALL_EDGES", small)
     edges = [(i, i + 1) for i in range(60)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 7)]
     got = {(x.node, x.root) for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {(i, 0) for i in range(61)} | {(500 + i, 500) for i in range(40)}
