@@ -20,9 +20,19 @@ INDEX_TEXT_STEPS = (("&gt;", ">"), ("&lt;", "<"), (r"(?s)<ref.*?</ref>", " "), (
 PAGE_TEXT_STEPS = (("&gt;", ">"), ("&lt;", "<"), (r"<ref>.*?</ref>", " "), (r"</?.*?>", " "), (r"\{\{.*?\}\}", " "), (r"\[\[.*?:.*?\]\]", " "), (r"\[\[(.*?)\]\]", "$1"), (r"\s(.*?)\|(\w+\s)", " $2"), (r"\[.*?\]", " "), ("'+", ""))
 
 
+#: A step that looks for a bar from every blank of a line; texts without one skip it.
+_BAR_STEP = r"\s(.*?)\|(\w+\s)"
+_BAR_BY = " $2"
+
+
 def _replaced(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
     for pattern, by in steps:
-        text = F.regexp_replace(text, pattern, by)
+        if pattern == _BAR_STEP:
+            # In a lambda the text so far is one variable, worked out once.
+            guarded = F.transform(F.array(text), lambda x: F.when(F.contains(x, F.lit("|")), F.regexp_replace(x, _BAR_STEP, _BAR_BY)).otherwise(x))
+            text = F.element_at(guarded, 1)
+        else:
+            text = F.regexp_replace(text, pattern, by)
     return text
 
 

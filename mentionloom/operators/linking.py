@@ -162,8 +162,13 @@ def link(mentions: DataFrame, kb: KnowledgeBase, cfg: LinkConfig = LinkConfig(),
 
 
 def link_by_prior(mentions: DataFrame, priors: DataFrame) -> DataFrame:
-    """doc_id, mention_id, entity of the largest prior; mentions without a candidate are left out."""
-    return cand.best_prior(cand.lookup(mentions, priors)).select(*MENTION, "entity")
+    """doc_id, mention_id, entity of the largest prior; mentions without a candidate are left out.
+
+    The best of each alias is found first, so a mention meets one candidate for each of its names.
+    """
+    top = priors.groupBy("alias_lc").agg(F.min(F.struct((-F.col("prior")).alias("p"), F.col("entity"), F.col("source"))).alias("__b"))
+    best = top.select("alias_lc", "__b.entity", "__b.source", (-F.col("__b.p")).alias("prior"))
+    return cand.best_prior(cand.lookup(mentions, best)).select(*MENTION, "entity")
 
 
 def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig) -> pd.DataFrame:

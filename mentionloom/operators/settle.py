@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -22,4 +23,7 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="stages-")
         sc.setCheckpointDir(named)
-    return df.checkpoint()
+    # Parquet, so that the planner knows the size of what it reads again and loops don't multiply guesses.
+    path = f"{sc.getCheckpointDir()}/stage-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .config import LinkConfig
 from .functions import markup, names, scores, strsim
 from .operators import annotate, candidates, coref, evaluate, expansion, graph, kb, linking, models, relatedness, vectors, walks
+from .operators.settle import settle
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,7 +582,7 @@ def doc_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    frequencies = doc_terms(spark, sf)
+    frequencies = settle(doc_terms(spark, sf))
     return vectors.tfidf_vectors(frequencies, "doc_id", vectors.document_frequencies(frequencies), table(spark, sf, "documents").count())
 
 
@@ -611,7 +612,7 @@ p AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id + 1 IN (SE
 d AS (SELECT p.a, p.b, sum(x.weight * y.weight) AS dot FROM p JOIN vec x ON x.doc_id = p.a JOIN vec y ON y.doc_id = p.b AND y.term = x.term GROUP BY ALL)
 SELECT p.a, p.b, round(coalesce(dot / (m.n * o.n), 0), 6) AS cosine FROM p LEFT JOIN d USING (a, b) LEFT JOIN norm m ON m.doc_id = p.a LEFT JOIN norm o ON o.doc_id = p.b""")
 def cosine_sparse(spark, sf):
-    vec, ids = doc_vectors(spark, sf), table(spark, sf, "documents").select("doc_id")
+    vec, ids = settle(doc_vectors(spark, sf)), table(spark, sf, "documents").select("doc_id")
     pairs = ids.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(ids.select(F.col("doc_id").alias("b")), "b", "left_semi")
     out = vectors.cosine_pairs(pairs, vec.withColumnRenamed("doc_id", "a"), vec.withColumnRenamed("doc_id", "b"), "a", "b")
     return out.withColumn("cosine", rounded("cosine"))
@@ -648,16 +649,15 @@ def kl_divergence(spark, sf):
 h AS (SELECT query, doc_id, round(sum(weight), 6) AS score, sum(weight) AS s FROM q JOIN vec USING (term) WHERE length(term) >= 2 AND term NOT IN ({_STOP_SQL}) GROUP BY ALL)
 SELECT query, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS r FROM h) WHERE r <= 5""")
 def full_text_search(spark, sf):
-    frequencies = doc_terms(spark, sf)
+    frequencies = settle(doc_terms(spark, sf))
     wanted = vectors.terms(table(spark, sf, "benchmark").withColumnRenamed("item_id", "query"), "query", "text")
-    found = vectors.search(frequencies, "doc_id", wanted, vectors.document_frequencies(frequencies), table(spark, sf, "documents").count(), top=50)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("score", rounded("score")).withColumn("r", rank).filter("r <= 5").drop("r")
+    found = vectors.search(frequencies, "doc_id", wanted, vectors.document_frequencies(frequencies), table(spark, sf, "documents").count(), top=5, digits=DIGITS)
+    return found.withColumn("score", rounded("score"))
 
 
-@query("SELECT doc_id, ((length(text) - length(replace(lower(text), 'the', ''))) // 3)::BIGINT AS n FROM documents")
+@query("SELECT doc_id, coalesce(len(list_filter(range(1, length(text)), lambda i: lower(substr(text, i::INT, 2)) = 'ee')), 0)::BIGINT AS n FROM (SELECT doc_id, text || 'eEe' AS text FROM documents)")
 def mention_count_overlapping(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", vectors.overlapping_count(F.col("text"), F.lit("the")).alias("n"))
+    return table(spark, sf, "documents").select("doc_id", vectors.overlapping_count(F.concat("text", F.lit("eEe")), F.lit("ee")).alias("n"))
 
 
 def _plain_sql(steps) -> str:
@@ -869,13 +869,18 @@ def labelled_features(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(labels, "doc_id").select("doc_id", F.lit(0).alias("mention_id"), F.col("doc_id").alias("entity"), (distinct / words).alias("prior"), (1 / (1 + words)).alias("local"), (F.length(F.regexp_replace("text", "[^.]", "")) / words).alias("semantic"), F.least(F.lit(1.0), words / 1000).alias("name"), F.col("quality").alias("label"))
 
 
+def learns() -> Column:
+    """Models learn from four of five documents and are applied to the others."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+
+
 @query()
 def supervised_ranking(spark, sf):
     rows = labelled_features(spark, sf).withColumn("doc_id", F.floor(F.col("doc_id") / 4))
-    return models.rank_supervised(models.fit_ranker(rows), rows).select("doc_id", "entity", rounded("score", 4).alias("score"))
+    return models.rank_supervised(models.fit_ranker(rows.filter(learns())), rows.filter(~learns())).select("doc_id", "entity", rounded("score", 4).alias("score"))
 
 
 @query()
 def nil_prediction(spark, sf):
     rows = labelled_features(spark, sf)
-    return models.predict_nil(models.fit_nil(rows), rows).select("doc_id", "entity")
+    return models.predict_nil(models.fit_nil(rows.filter(learns())), rows.filter(~learns())).select("doc_id", "entity")

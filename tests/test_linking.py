@@ -74,7 +74,9 @@ def test_tokens_and_alignment(spark):
     aligned = {x.mention_id: (x.start_tok, x.end_tok, x.ner_type) for x in annotate.align(gold, found, words).collect()}
     assert aligned == {0: (2, 3, "MISC"), 1: (1, 1, None), 2: (2, 3, "MISC")}
     located = annotate.align_or_locate(gold.select("doc_id", "mention_id", "name"), docs)
-    assert {x.mention_id: x.offset for x in located.collect()} == {0: text.index("Smith"), 1: text.index("old"), 2: None}
+    assert {x.mention_id: x.offset for x in located.collect()} == {0: text.index("Smith"), 1: text.index("old"), 2: text.index("met M")}
+    absent = annotate.align_or_locate(spark.createDataFrame([(1, 5, "nowhere")], "doc_id long, mention_id long, name string"), docs)
+    assert [x.offset for x in absent.collect()] == [None]
 
 
 def test_abbreviation_definitions(spark):
