@@ -32,6 +32,7 @@ class LinkConfig:
     top_by_context: int = 3
     top_by_prior: int = 3
     min_prior: float = 2e-5
+    selection: str = "union"  # union (best by context or prior), source (thresholds by source), normalized (union; unknown names again by their normalised form)
     link_threshold: float = 0.005
     other_threshold: float = 0.001
     top_by_source: int = 20
@@ -53,6 +54,9 @@ class LinkConfig:
         if scheme not in RANK_SCHEMES:
             raise ValueError(f"rank scheme {self.rank_scheme}: one of {', '.join(RANK_SCHEMES)} is needed")
         object.__setattr__(self, "rank_scheme", scheme)
+        for name, allowed in (("selection", ("union", "source", "normalized")), ("context", ("document", "sentence")), ("mention_preference", ("UNIFORM", "RANDOM", "TFIDF"))):
+            if getattr(self, name) not in allowed:
+                raise ValueError(f"{name} {getattr(self, name)}: one of {', '.join(allowed)} is needed")
 
     @property
     def min_in_degree(self) -> int:

@@ -14,13 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LinkConfig
-from ..functions.scores import score, semantic_similarity
+from ..functions.scores import score, semantic_similarity, tfidf
+from ..functions.strsim import jaro_winkler
 from . import candidates as cand
-from . import graph, vectors, walks
+from . import graph, models, vectors, walks
 from .candidates import MENTION
 from .settle import settle
 
@@ -28,12 +30,15 @@ from .settle import settle
 @dataclass(frozen=True)
 class KnowledgeBase:
     """priors: alias_lc, entity, source, prior.  edges: src, dst, w, both directions if undirected.
-    terms: entity, term, weight.  degree: node, in_degree."""
+    terms: entity, term, weight.  degree: node, in_degree.  ranker, nil: fitted by ``models`` on
+    the features prior, local, semantic and name, for runs that ask for them."""
 
     priors: DataFrame
     edges: DataFrame
     terms: DataFrame | None = None
     degree: DataFrame | None = None
+    ranker: PipelineModel | None = None
+    nil: PipelineModel | None = None
 
     def degrees(self) -> DataFrame:
         return graph.degrees(self.edges) if self.degree is None else self.degree
@@ -42,15 +47,16 @@ class KnowledgeBase:
 def local_similarity(found: DataFrame, contexts: DataFrame | None, entity_terms: DataFrame | None) -> DataFrame:
     """Add context: 1 for single candidates, else the cosine of the document's and the entity's terms.
 
-    contexts: doc_id, term, weight.
+    contexts: doc_id, term, weight; with mention_id too, each mention has a context of its own.
     """
     counts = found.groupBy(*MENTION).agg(F.count(F.lit(1)).alias("__n"))
     rows = found.join(counts, MENTION)
     if contexts is None or entity_terms is None:
         return rows.withColumn("context", F.when(F.col("__n") == 1, 1.0).otherwise(0.0)).drop("__n")
-    pairs = rows.filter("__n > 1").select("doc_id", "entity")
-    near = vectors.cosine_pairs(pairs, contexts, entity_terms, "doc_id", "entity")
-    rows = rows.join(near, ["doc_id", "entity"], "left")
+    key = MENTION if "mention_id" in contexts.columns else ["doc_id"]
+    pairs = rows.filter("__n > 1").select(F.struct(*key).alias("__of"), "entity")
+    near = vectors.cosine_pairs(pairs, contexts.select(F.struct(*key).alias("__of"), "term", "weight"), entity_terms, "__of", "entity")
+    rows = rows.join(near.select("__of.*", "entity", "cosine"), [*key, "entity"], "left")
     return rows.withColumn("context", F.when(F.col("__n") == 1, 1.0).otherwise(F.coalesce("cosine", F.lit(0.0)))).drop("__n", "cosine")
 
 
@@ -69,11 +75,38 @@ def preference_weight(kind: str, prior: Column, context: Column, mention_weight:
     raise ValueError(f"unknown preference {kind}")
 
 
+def mention_weights(mentions: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Mentions with weight, the tf-idf of their name: occurrences in their document, documents with such a mention."""
+    n = docs.select("doc_id").distinct().count()
+    spread = mentions.groupBy(F.lower("name").alias("__lc")).agg(F.countDistinct("doc_id").alias("__df"))
+    met = mentions.join(docs.select("doc_id", F.col(text).alias("__text")), "doc_id").withColumn("__tf", vectors.overlapping_count(F.col("__text"), F.col("name"))).withColumn("__lc", F.lower("name"))
+    return met.join(spread, "__lc").withColumn("weight", tfidf(F.col("__tf"), F.col("__df"), F.lit(n))).select(*mentions.columns, "weight")
+
+
 def select_candidates(mentions: DataFrame, kb: KnowledgeBase, cfg: LinkConfig, contexts: DataFrame | None = None) -> DataFrame:
-    """Candidates of all mentions, pruned: doc_id, mention_id, entity, source, prior, context."""
-    found = local_similarity(cand.lookup(mentions.select(*MENTION, "name"), kb.priors), contexts, kb.terms)
-    pruned = cand.top_union(found, cfg.top_by_context, cfg.top_by_prior, least=cfg.min_prior)
-    return cand.clean(pruned, graph.nodes(kb.edges).withColumnRenamed("node", "entity")).select(*MENTION, "entity", "source", "prior", "context")
+    """Candidates of all mentions, pruned: doc_id, mention_id, entity, source, prior, context, name, mention_weight.
+
+    name is the similarity of the mention's and the entity's names where a model
+    asks for it; mention_weight follows mention_preference (TFIDF: the mentions'
+    column weight, see ``mention_weights``).
+    """
+    if cfg.mention_preference == "TFIDF" and "weight" not in mentions.columns:
+        raise ValueError("TFIDF needs mentions with a weight")
+    if cfg.context == "sentence" and contexts is not None and "mention_id" not in contexts.columns:
+        raise ValueError("sentence contexts need a mention_id")
+    weight = {"UNIFORM": F.lit(1.0), "RANDOM": F.rand(42)}.get(cfg.mention_preference)
+    weighed = mentions.select(*MENTION, "name", (F.col("weight") if weight is None else weight).alias("mention_weight"))
+    if cfg.mention_preference == "RANDOM":
+        weighed = settle(weighed)
+    lookup = cand.lookup_normalized if cfg.selection == "normalized" else cand.lookup
+    found = lookup(weighed, kb.priors)
+    if cfg.selection == "source":
+        found = cand.top_by(cand.above_source_threshold(found, cfg.link_threshold, cfg.other_threshold), "prior", cfg.top_by_source)
+    found = local_similarity(found, contexts, kb.terms)
+    pruned = found if cfg.selection == "source" else cand.top_union(found, cfg.top_by_context, cfg.top_by_prior, least=cfg.min_prior)
+    kept = cand.clean(pruned, graph.nodes(kb.edges).withColumnRenamed("node", "entity"))
+    similar = jaro_winkler(F.col("name"), F.col("entity").cast("string")) if cfg.supervised or cfg.nil_prediction else F.lit(0.0)
+    return kept.withColumn("name", similar).select(*MENTION, "entity", "source", "prior", "context", "name", "mention_weight")
 
 
 def unambiguous(found: DataFrame) -> DataFrame:
@@ -89,8 +122,14 @@ def document_preference(found: DataFrame, sure: DataFrame, cfg: LinkConfig) -> D
     """
     mentions = found.select(*MENTION).distinct()
     own = found.select(*MENTION, F.col("entity").alias("node")).distinct()
+    # The approximate set: an entity's share of its mention's weights, times the mention's weight; the largest counts.
     weight = preference_weight(cfg.entity_preference, F.col("prior"), F.col("context"))
-    pool = found.groupBy("doc_id", F.col("entity").alias("node")).agg(F.max(weight).alias("weight"))
+    by_mention = Window.partitionBy(*MENTION)
+    shared = found.withColumn("__w", weight).withColumn("__s", F.sum("__w").over(by_mention))
+    share = F.when(F.col("__s") > 0, F.col("__w") / F.col("__s")).otherwise(0.0)
+    if "mention_weight" in found.columns:
+        share = share * F.col("mention_weight")
+    pool = shared.groupBy("doc_id", F.col("entity").alias("node")).agg(F.max(share).alias("weight"))
     known = sure.select("doc_id", F.col("entity").alias("node")).distinct().withColumn("weight", F.lit(1.0)) if cfg.use_unambiguous else pool.limit(0)
     who = mentions.select(*MENTION)
 
@@ -122,7 +161,7 @@ def features(found: DataFrame, kb: KnowledgeBase, cfg: LinkConfig) -> DataFrame:
     left = pairs.join(own, ["doc_id", "seed"]).select(*MENTION, "seed", "node", "p")
     apart = vectors.divergence(left, whole, MENTION, ["seed"]).withColumnRenamed("seed", "entity")
     rows = found.join(apart, [*MENTION, "entity"], "left")
-    return rows.select(*MENTION, "entity", "prior", F.col("context").alias("local"), semantic_similarity(F.col("divergence"), cfg.least_divergence).alias("semantic"))
+    return rows.select(*MENTION, "entity", "prior", F.col("context").alias("local"), semantic_similarity(F.col("divergence"), cfg.least_divergence).alias("semantic"), *(["name"] if "name" in found.columns else []))
 
 
 def normalized(rows: DataFrame, names: tuple[str, ...] = ("prior", "local", "semantic")) -> DataFrame:
@@ -142,22 +181,35 @@ def winners(rows: DataFrame) -> DataFrame:
     return best.select(*MENTION, "__b.entity", (-F.col("__b.s")).alias("score"))
 
 
-def check_options(cfg: LinkConfig) -> None:
-    """Raise on options that linking does not carry out, so that no run returns the default links in their place."""
-    usual = LinkConfig()
-    names = ("supervised", "nil_prediction", "mention_preference", "context", "link_threshold", "other_threshold", "top_by_source")
-    if other := [x for x in names if getattr(cfg, x) != getattr(usual, x)]:
-        raise NotImplementedError(f"link() does not carry out {', '.join(other)} other than by default")
+def _need_models(kb: KnowledgeBase, cfg: LinkConfig) -> None:
+    if cfg.supervised and kb.ranker is None:
+        raise ValueError("supervised needs a ranker")
+    if cfg.nil_prediction and kb.nil is None:
+        raise ValueError("nil_prediction needs a classifier")
 
 
 def link(mentions: DataFrame, kb: KnowledgeBase, cfg: LinkConfig = LinkConfig(), contexts: DataFrame | None = None) -> DataFrame:
-    """doc_id, mention_id, entity (null: NIL) for every mention."""
-    check_options(cfg)
+    """doc_id, mention_id, entity (null: NIL) for every mention (doc_id, mention_id, name; weight for TFIDF).
+
+    Mentions whose best candidates by prior and context agree are sure; the ranker
+    and the classifier decide the others.
+    """
+    _need_models(kb, cfg)
     found = settle(select_candidates(mentions, kb, cfg, contexts))
     if cfg.use_iterative:
         best = link_iteratively(found, kb, cfg)
     else:
-        best = winners(rank(normalized(features(settle(cand.keep_agreed(found, unambiguous(found))), kb, cfg)), cfg))
+        sure = unambiguous(found)
+        rows = normalized(features(settle(cand.keep_agreed(found, sure)), kb, cfg), ("prior", "local", "semantic", "name"))
+        if not (cfg.supervised or cfg.nil_prediction):
+            best = winners(rank(rows, cfg))
+        else:
+            rows = settle(rows)
+            top = models.rank_supervised(kb.ranker, rows) if cfg.supervised else winners(rank(rows, cfg))
+            best = rows.join(top.select(*MENTION, "entity"), [*MENTION, "entity"])
+            if cfg.nil_prediction:
+                open_ = models.predict_nil(kb.nil, best.join(sure, MENTION, "left_anti"))
+                best = best.join(sure, MENTION, "left_semi").unionByName(open_)
     return mentions.select(*MENTION).distinct().join(best.select(*MENTION, "entity"), MENTION, "left")
 
 
@@ -171,9 +223,11 @@ def link_by_prior(mentions: DataFrame, priors: DataFrame) -> DataFrame:
     return cand.best_prior(cand.lookup(mentions, best)).select(*MENTION, "entity")
 
 
-def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig) -> pd.DataFrame:
+def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig, ranker: tuple | None = None, nil: tuple | None = None) -> pd.DataFrame:
     """Iterative linking of one document: candidates (mention_id, entity, prior, context) and arcs (src, dst, w).
 
+    ranker, nil: linear parts of the models (over prior, local, semantic, name).
+
     Unambiguous mentions come first; the others follow by number of candidates, and
     each winner joins the document's set before the next is decided.
     """
@@ -203,13 +257,20 @@ def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig) -> pd.DataF
     open_.sort(key=lambda x: (-len(x[1]) if cfg.order == "desc" else len(x[1]), x[0]))
     kind = cfg.entity_preference
     if kind == "UNIFORM":
-        pool = {x: 1.0 for x in seeds}
+        weight = np.ones(len(group))
     elif kind == "RANDOM":
-        pool = dict(zip(seeds, np.random.default_rng(42).random(len(seeds)), strict=True))
+        weight = np.random.default_rng(42).random(len(group))
     elif kind in ("PRIOR_PROB", "CTX_SIM"):
-        pool = group.groupby("entity")["prior" if kind == "PRIOR_PROB" else "context"].max().to_dict()
+        weight = group["prior" if kind == "PRIOR_PROB" else "context"].to_numpy(float)
     else:
         raise ValueError(f"unknown preference {kind}")
+    # The approximate set: an entity's share of its mention's weights, times the mention's weight; the largest counts.
+    weighed = pd.DataFrame({"mention": group["mention_id"].to_numpy(), "entity": group["entity"].to_numpy(), "w": weight})
+    total = weighed.groupby("mention")["w"].transform("sum").to_numpy()
+    weighed["w"] = np.divide(weight, total, out=np.zeros(len(weight)), where=total > 0)
+    if "mention_weight" in group:
+        weighed["w"] *= group["mention_weight"].to_numpy(float)
+    pool = weighed.groupby("entity")["w"].max().to_dict()
     for mention, rows in open_:
         avoid = set(rows["entity"])
         wanted = {k: v for k, v in sure.items() if k not in avoid} or {k: v for k, v in pool.items() if k not in avoid} or {k: pool[k] for k in avoid}
@@ -237,7 +298,14 @@ def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig) -> pd.DataF
             "LOCAL_SEM": b * s,
             "SEMANTIC": s,
         }[cfg.rank_scheme]
-        best = rows["entity"].iloc[int(np.argmax(scores))]
+        table = np.stack([a, b, s, share(rows["name"]) if "name" in rows else np.zeros(len(rows))], axis=1)
+        if ranker is not None:
+            scores = table @ ranker[0] + ranker[1]
+        at = int(np.argmax(scores))
+        if nil is not None and table[at] @ nil[0] + nil[1] <= 0:
+            decided[mention] = None
+            continue
+        best = rows["entity"].iloc[at]
         decided[mention] = best
         sure[best] = 1.0
     return pd.DataFrame({"doc_id": group["doc_id"].iloc[0], "mention_id": list(decided), "entity": list(decided.values())})
@@ -248,16 +316,18 @@ def link_iteratively(found: DataFrame, kb: KnowledgeBase, cfg: LinkConfig) -> Da
     arcs = settle(document_graph(found, kb, cfg))
     kinds = {x: found.schema[x].dataType.simpleString() for x in (*MENTION, "entity")}
 
+    ranker = models.linear_part(kb.ranker) if cfg.supervised else None
+    nil = models.linear_part(kb.nil) if cfg.nil_prediction else None
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return decide(left, right, cfg) if len(left) else pd.DataFrame({"doc_id": [], "mention_id": [], "entity": []})
+        return decide(left, right, cfg, ranker, nil) if len(left) else pd.DataFrame({"doc_id": [], "mention_id": [], "entity": []})
 
     schema = f"doc_id {kinds['doc_id']}, mention_id {kinds['mention_id']}, entity {kinds['entity']}"
-    return found.select(*MENTION, "entity", "prior", "context").groupBy("doc_id").cogroup(arcs.groupBy("doc_id")).applyInPandas(run, schema)
+    more = [x for x in ("name", "mention_weight") if x in found.columns]
+    return found.select(*MENTION, "entity", "prior", "context", *more).groupBy("doc_id").cogroup(arcs.groupBy("doc_id")).applyInPandas(run, schema)
 
 
 def training_rows(raw: DataFrame, gold: DataFrame, mentions: DataFrame) -> DataFrame:
     """Features with the similarity of names and whether the entity is the gold one: ..., name, label."""
-    from ..functions.strsim import jaro_winkler
-
     rows = raw.join(mentions.select(*MENTION, F.col("name").alias("__mention")), MENTION).join(gold.select(*MENTION, F.col("gold").alias("__gold")), MENTION)
     return rows.select(*MENTION, "entity", "prior", "local", "semantic", jaro_winkler(F.col("__mention"), F.col("entity").cast("string")).alias("name"), F.col("entity").eqNullSafe(F.col("__gold")).cast("int").alias("label"))

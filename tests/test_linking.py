@@ -191,10 +191,81 @@ def test_knowledge_base_of_the_queries_has_all_counted_edges(spark, sf_dir):
     assert {(x.src, x.dst): x.w for x in queries.linking_setup(spark, sf_dir)[1].edges.collect()} == want
 
 
-@pytest.mark.parametrize("option", [{"supervised": True}, {"nil_prediction": True}, {"mention_preference": "TFIDF"}, {"context": "sentence"}, {"link_threshold": 0.5}, {"other_threshold": 0.5}, {"top_by_source": 1}])
-def test_linking_raises_on_options_it_lacks(option):
-    with pytest.raises(NotImplementedError, match=next(iter(option))):
-        linking.link(None, None, LinkConfig(**option))
+@pytest.fixture(scope="module")
+def fitted(spark):
+    """Models that follow the prior alone: a large share ranks first, a small one means no entity."""
+    data = [(d, 0, e, p, 0.5, 0.5, 0.5, int(p > 0.65)) for d in range(20) for e, p in (("r", 0.7 + d / 100), ("w", 0.3 - d / 100), ("v", 0.6))]
+    table = spark.createDataFrame(data, "doc_id long, mention_id long, entity string, prior double, local double, semantic double, name double, label int")
+    return models.fit_ranker(table), models.fit_nil(table)
+
+
+def test_models_are_saved_and_loaded(spark, fitted, tmp_path):
+    for i, model in enumerate(fitted):
+        models.save_model(model, f"{tmp_path}/{i}")
+        again = models.load_model(f"{tmp_path}/{i}")
+        assert models.linear_part(again)[0].tolist() == models.linear_part(model)[0].tolist()
+
+
+@pytest.mark.parametrize("iterative", [True, False])
+def test_every_option_of_linking_tells(spark, fitted, iterative):
+    priors = spark.createDataFrame([("paris", "A", "link", 0.6), ("paris", "B", "link", 0.39), ("paris", "C", "redirect", 0.01), ("acme", "B", "link", 1.0)], "alias_lc string, entity string, source string, prior double")
+    edges = graph.undirected(spark.createDataFrame([("A", "X", 1), ("B", "Y", 1), ("C", "X", 1)], "src string, dst string, w long"))
+    terms = spark.createDataFrame([("A", "river", 1.0), ("B", "film", 1.0), ("C", "town", 1.0)], "entity string, term string, weight double")
+    known = linking.KnowledgeBase(priors, edges, terms, ranker=fitted[0], nil=fitted[1])
+    table = spark.createDataFrame([(1, 1, "Paris")], "doc_id long, mention_id long, name string")
+    film = spark.createDataFrame([(1, "film", 1.0)], "doc_id long, term string, weight double")
+
+    def best(mentions=table, contexts=film, **options):
+        cfg = LinkConfig(use_iterative=iterative, min_in_degree_undirected=1, rank_scheme="LOCAL_SEM", **options)
+        return [x.entity for x in linking.link(mentions, known, cfg, contexts).orderBy("mention_id").collect()]
+
+    assert best(supervised=True) == ["A"]
+    assert best(nil_prediction=True) == [None]
+    if not iterative:  # candidates and contexts are the same in both orders
+        return
+
+    def chosen(mentions=table, contexts=film, **options):
+        rows = linking.select_candidates(mentions, known, LinkConfig(**options), contexts).collect()
+        return {x.entity: x.context for x in rows}
+
+    assert chosen() == {"A": 0.0, "B": 1.0, "C": 0.0}
+    own = spark.createDataFrame([(1, 1, "town", 1.0)], "doc_id long, mention_id long, term string, weight double")
+    assert chosen(context="sentence", contexts=own) == {"A": 0.0, "B": 0.0, "C": 1.0}
+    assert set(chosen(selection="source")) == {"A", "B", "C"}
+    assert set(chosen(selection="source", other_threshold=0.05)) == {"A", "B"}
+    assert set(chosen(selection="source", link_threshold=0.5)) == {"A", "C"}
+    assert set(chosen(selection="source", top_by_source=1)) == {"A"}
+    inc = table.withColumn("name", F.lit("Acme Inc"))
+    assert (chosen(inc), set(chosen(inc, selection="normalized"))) == ({}, {"B"})
+    with pytest.raises(ValueError, match="weight"):
+        best(mention_preference="TFIDF")
+    with pytest.raises(ValueError, match="mention_id"):
+        best(context="sentence")
+    with pytest.raises(ValueError, match="ranker"):
+        linking.link(table, linking.KnowledgeBase(priors, edges), LinkConfig(supervised=True))
+    for bad in ({"selection": "x"}, {"context": "x"}, {"mention_preference": "x"}):
+        with pytest.raises(ValueError, match="x: one of"):
+            LinkConfig(**bad)
+
+
+@pytest.mark.parametrize("iterative", [True, False])
+def test_mention_weights_draw_the_walk(spark, iterative):
+    """Mention 1 follows the entities of mention 2 or 3, whichever name weighs more."""
+    priors = spark.createDataFrame([("m", "x", "link", 0.5), ("m", "y", "link", 0.4), ("n", "p", "link", 0.6), ("n", "p2", "link", 0.4), ("o", "q", "link", 0.6), ("o", "q2", "link", 0.4)], "alias_lc string, entity string, source string, prior double")
+    edges = graph.undirected(spark.createDataFrame([("x", "p", 1), ("y", "q", 1), ("x", "p2", 1), ("y", "q2", 1)], "src string, dst string, w long"))
+    terms = spark.createDataFrame([(e, "t", 1.0) for e in ("y", "p2", "q2")], "entity string, term string, weight double")
+    contexts = spark.createDataFrame([("d", "t", 1.0)], "doc_id string, term string, weight double")
+    kb = linking.KnowledgeBase(priors, edges, terms)
+    got = {}
+    for heavy in (2, 3):
+        rows = [("d", 1, "m", 1.0), ("d", 2, "n", 9.0 if heavy == 2 else 0.1), ("d", 3, "o", 9.0 if heavy == 3 else 0.1)]
+        table = spark.createDataFrame(rows, "doc_id string, mention_id long, name string, weight double")
+        cfg = LinkConfig(use_iterative=iterative, mention_preference="TFIDF", rank_scheme="SEMANTIC", min_in_degree_undirected=1)
+        got[heavy] = {x.mention_id: x.entity for x in linking.link(table, kb, cfg, contexts).collect()}[1]
+    assert got == {2: "x", 3: "y"}
+    docs = spark.createDataFrame([("d", "m n n o")], "doc_id string, text string")
+    weighed = {x.name: x.weight for x in linking.mention_weights(table.drop("weight"), docs).collect()}
+    assert weighed["n"] > weighed["m"] == weighed["o"]
 
 
 def test_iterative_linking_weighs_entities():
