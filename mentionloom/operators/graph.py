@@ -47,6 +47,22 @@ def neighbours(edges: DataFrame, seeds: DataFrame, out: bool = True) -> DataFram
     return near.join(seeds.select("node").distinct(), "node", "left_semi")
 
 
+def neighbour_lists(edges: DataFrame, degree: DataFrame, least: int, chunk: int = 4096) -> DataFrame:
+    """Both sides of every arc, packed: node, far, w, kind (arrays; kind 1: far has an in-degree of at least ``least``, 2: the arc leads to node).
+
+    A node has a row for every ``chunk`` neighbours or so, so a hub's list has no bound but its rows do.
+    """
+    into = edges.select(F.col("dst").alias("node"), F.col("src").alias("far"), F.col("w").cast("double").alias("w"), F.lit(2).alias("side"))
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("far"), F.col("w").cast("double").alias("w"), F.lit(0).alias("side"))
+    both = into.unionByName(out)
+    large = degree.filter(F.col("in_degree") >= least).select(F.col("node").alias("far"), F.lit(1).alias("large"))
+    size = both.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
+    kind = (F.col("side") + F.coalesce("large", F.lit(0))).cast("tinyint").alias("kind")
+    rows = both.join(large, "far", "left").join(size, "node").select("node", F.pmod(F.xxhash64("far", "side"), "parts").alias("part"), F.struct("far", "w", kind).alias("near"))
+    packed = rows.groupBy("node", "part").agg(F.collect_list("near").alias("near"))
+    return packed.select("node", "near.far", "near.w", "near.kind")
+
+
 def adjacency_sets(edges: DataFrame) -> DataFrame:
     """node and its sorted distinct neighbours."""
     return edges.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("neighbours"))

@@ -3,20 +3,24 @@
 A document's candidates are seeds; the graph around them gives each candidate a
 walk vector, and the unambiguous entities of the document a walk vector of its own.
 A candidate is scored by its prior, the similarity of contexts, and the closeness of
-both vectors.  Everything is relational and keyed by document; only the iterative
-order, where every decision changes the document's vector, runs as a kernel per
-document.
+both vectors.  Candidates and neighbours are joined by Spark; the walks of one
+document run as a kernel on its own small graph, documents with very many candidates
+(unless each decision changes the next) by joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import LinkConfig
 from ..functions.scores import score, semantic_similarity, tfidf
@@ -150,8 +154,26 @@ def document_graph(found: DataFrame, kb: KnowledgeBase, cfg: LinkConfig) -> Data
     return arcs if cfg.weighted else arcs.withColumn("w", F.lit(1))
 
 
-def features(found: DataFrame, kb: KnowledgeBase, cfg: LinkConfig) -> DataFrame:
-    """Raw features of every candidate: doc_id, mention_id, entity, prior, local, semantic."""
+def features(found: DataFrame, kb: KnowledgeBase, cfg: LinkConfig, kernel_rows: int = 1000) -> DataFrame:
+    """Raw features of every candidate: doc_id, mention_id, entity, prior, local, semantic.
+
+    Documents of at most ``kernel_rows`` candidates are walked in memory, one at a
+    time; larger ones by joins that any number of tasks share.  Both give the same
+    numbers, up to rounding.
+    """
+    extra = ["name"] if "name" in found.columns else []
+    count = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
+    large = settle(count.filter(F.col("__n") > kernel_rows).select("doc_id"))
+    some = not large.isEmpty()
+    small = found.join(large, "doc_id", "left_anti") if some else found
+    weights = ["mention_weight"] if "mention_weight" in found.columns else []
+    close = by_document(small.select(*MENTION, "entity", "prior", "context", *weights), kb, cfg, lambda group, arcs: document_semantics(group, arcs, cfg), _result_schema(found, "semantic double"))
+    out = small.join(close, [*MENTION, "entity"], "left").select(*MENTION, "entity", "prior", F.col("context").alias("local"), "semantic", *extra)
+    return out.unionByName(features_by_joins(settle(found.join(large, "doc_id", "left_semi")), kb, cfg)) if some else out
+
+
+def features_by_joins(found: DataFrame, kb: KnowledgeBase, cfg: LinkConfig) -> DataFrame:
+    """``features`` with every walk as joins and aggregations."""
     arcs = settle(document_graph(found, kb, cfg))
     seeds = found.select("doc_id", F.col("entity").alias("node")).distinct().withColumn("seed", F.col("node"))
     own = walks.walk(arcs, walks.uniform_preference(seeds, ["doc_id"], ["seed"]), cfg.alpha, cfg.steps, ["doc_id"], ["seed"])
@@ -223,38 +245,55 @@ def link_by_prior(mentions: DataFrame, priors: DataFrame) -> DataFrame:
     return cand.best_prior(cand.lookup(mentions, best)).select(*MENTION, "entity")
 
 
-def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig, ranker: tuple | None = None, nil: tuple | None = None) -> pd.DataFrame:
-    """Iterative linking of one document: candidates (mention_id, entity, prior, context) and arcs (src, dst, w).
-
-    ranker, nil: linear parts of the models (over prior, local, semantic, name).
-
-    Unambiguous mentions come first; the others follow by number of candidates, and
-    each winner joins the document's set before the next is decided.
-    """
-    names = sorted({*group["entity"], *arcs["src"], *arcs["dst"]})
-    place = {x: i for i, x in enumerate(names)}
-    n = len(names)
-    src, dst = (arcs[x].map(place).to_numpy(int) if len(arcs) else np.zeros(0, int) for x in ("src", "dst"))
-    w = arcs["w"].to_numpy(float) if len(arcs) else np.zeros(0)
-    seeds = sorted(set(group["entity"]))
-    unit = np.zeros((len(seeds), n))
-    unit[range(len(seeds)), [place[x] for x in seeds]] = 1
-    own = dict(zip(seeds, walks.walk_kernel(n, src, dst, w, unit, cfg.alpha, cfg.steps, cfg.walk_threshold), strict=True))
-
+class Signatures:
+    """Walk vectors of one document: candidates (mention_id, entity, prior, context) and arcs (src, dst, w)."""
+
+    def __init__(self, group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig, threshold: float) -> None:
+        ends = pd.concat([group["entity"], arcs["src"], arcs["dst"]], ignore_index=True) if len(arcs) else group["entity"]
+        codes, names = pd.factorize(ends, sort=True)
+        self.place, self.n = {x: i for i, x in enumerate(names)}, len(names)
+        k, m = len(group), len(arcs)
+        self.arcs = (codes[k : k + m], codes[k + m :], arcs["w"].to_numpy(float)) if m else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        self.cfg, self.threshold = cfg, threshold
+        seeds = np.unique(codes[:k])
+        unit = np.zeros((len(seeds), self.n))
+        unit[np.arange(len(seeds)), seeds] = 1
+        self.row = {names[x]: i for i, x in enumerate(seeds)}
+        self.own = self._walk(unit)
+        self.entropy = self.own * np.log2(np.where(self.own == 0, 1, self.own))
+
+    def _walk(self, preference: np.ndarray) -> np.ndarray:
+        return walks.walk_kernel(self.n, *self.arcs, preference, self.cfg.alpha, self.cfg.steps, self.threshold)
+
+    def of_sets(self, wanted: list[dict]) -> np.ndarray:
+        """A vector for each set of weighed entities."""
+        preference = np.zeros((len(wanted), self.n))
+        for i, one in enumerate(wanted):
+            preference[i, [self.place[x] for x in one]] = list(one.values())
+        total = preference.sum(axis=1, keepdims=True)
+        return self._walk(preference / np.where(total == 0, 1, total))
+
+    def closeness(self, entities: list, whole: np.ndarray) -> np.ndarray:
+        """Semantic similarity of entities to one vector: the inverse of the divergence, with its floor."""
+        at = [self.row[x] for x in entities]
+        far = whole <= 1e-6
+        own = self.own[at]
+        apart = self.entropy[at][:, ~far].sum(axis=1) - own[:, ~far] @ np.log2(whole[~far]) + 10.0 * own[:, far].sum(axis=1)
+        return 1 / np.maximum(apart, self.cfg.least_divergence)
+
+
+def _document_sets(group: pd.DataFrame, cfg: LinkConfig) -> tuple[dict, list[tuple], dict, dict]:
+    """Agreed mentions, the others with their rows, the sure entities, and the approximate set of all entities with weights."""
     decided: dict = {}
     open_: list[tuple] = []
-    for mention, rows in group.groupby("mention_id", sort=True):
-        rows = rows.sort_values("entity")
+    for mention, rows in group.sort_values("entity").groupby("mention_id", sort=True):
         by_prior = rows["entity"].iloc[int(rows["prior"].to_numpy().argmax())]
         by_context = rows["entity"].iloc[int(rows["context"].to_numpy().argmax())]
         if by_prior == by_context:
             decided[mention] = by_prior
         else:
             open_.append((mention, rows))
-    sure: dict[str, float] = {}
-    if cfg.use_unambiguous:
-        sure = {x: 1.0 for x in decided.values()}
-    open_.sort(key=lambda x: (-len(x[1]) if cfg.order == "desc" else len(x[1]), x[0]))
+    sure = {x: 1.0 for x in decided.values()} if cfg.use_unambiguous else {}
     kind = cfg.entity_preference
     if kind == "UNIFORM":
         weight = np.ones(len(group))
@@ -270,20 +309,37 @@ def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig, ranker: tup
     weighed["w"] = np.divide(weight, total, out=np.zeros(len(weight)), where=total > 0)
     if "mention_weight" in group:
         weighed["w"] *= group["mention_weight"].to_numpy(float)
-    pool = weighed.groupby("entity")["w"].max().to_dict()
+    return decided, open_, sure, weighed.groupby("entity")["w"].max().to_dict()
+
+
+def _wanted(avoid: set, sure: dict, pool: dict) -> dict:
+    return {k: v for k, v in sure.items() if k not in avoid} or {k: v for k, v in pool.items() if k not in avoid} or {k: pool[k] for k in avoid}
+
+
+def document_semantics(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig) -> pd.DataFrame:
+    """The semantic feature of every candidate of one document, no decision changing the next: mention_id, entity, semantic."""
+    _, _, sure, pool = _document_sets(group, cfg)
+    signatures = Signatures(group, arcs, cfg, 0.0)
+    mentions = [(m, rows["entity"].tolist()) for m, rows in group.groupby("mention_id", sort=True)]
+    whole = signatures.of_sets([_wanted(set(x), sure, pool) for _, x in mentions])
+    parts = [pd.DataFrame({"mention_id": m, "entity": x, "semantic": signatures.closeness(x, q)}) for (m, x), q in zip(mentions, whole, strict=True)]
+    return pd.concat(parts, ignore_index=True)
+
+
+def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig, ranker: tuple | None = None, nil: tuple | None = None) -> pd.DataFrame:
+    """Iterative linking of one document: candidates (mention_id, entity, prior, context) and arcs (src, dst, w).
+
+    ranker, nil: linear parts of the models (over prior, local, semantic, name).
+
+    Unambiguous mentions come first; the others follow by number of candidates, and
+    each winner joins the document's set before the next is decided.
+    """
+    decided, open_, sure, pool = _document_sets(group, cfg)
+    open_.sort(key=lambda x: (-len(x[1]) if cfg.order == "desc" else len(x[1]), x[0]))
+    signatures = Signatures(group, arcs, cfg, cfg.walk_threshold) if open_ else None
     for mention, rows in open_:
-        avoid = set(rows["entity"])
-        wanted = {k: v for k, v in sure.items() if k not in avoid} or {k: v for k, v in pool.items() if k not in avoid} or {k: pool[k] for k in avoid}
-        preference = np.zeros(n)
-        for k, v in wanted.items():
-            preference[place[k]] = v
-        whole = walks.walk_kernel(n, src, dst, w, preference / (preference.sum() or 1.0), cfg.alpha, cfg.steps, cfg.walk_threshold)[0]
-        semantic = []
-        for entity in rows["entity"]:
-            p = own[entity]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                terms = np.where(p == 0, 0.0, np.where(whole <= 1e-6, p * 10.0, p * np.log2(np.where(p == 0, 1, p) / np.where(whole <= 1e-6, 1, whole))))
-            semantic.append(1 / max(terms.sum(), cfg.least_divergence))
+        whole = signatures.of_sets([_wanted(set(rows["entity"]), sure, pool)])[0]
+        semantic = signatures.closeness(rows["entity"].tolist(), whole)
 
         def share(x):
             x = np.asarray(x, float)
@@ -311,20 +367,63 @@ def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig, ranker: tup
     return pd.DataFrame({"doc_id": group["doc_id"].iloc[0], "mention_id": list(decided), "entity": list(decided.values())})
 
 
+def arcs_of_lists(near: pd.DataFrame, directed: bool) -> pd.DataFrame:
+    """One document's arcs (src, dst, w) from its seeds' neighbours: node, far, w, kind (1: far is large, 2: the arc leads to node).
+
+    Gives what ``graph.expand`` over one hop and ``graph.subgraph`` give.
+    """
+    inward, large = (near["kind"] & 2) > 0, (near["kind"] & 1) > 0
+    chosen = large | ~large.groupby([near["node"], inward]).transform("any")
+    reached = pd.concat([near["node"], near["far"][chosen & (inward | directed)]]).unique()
+    kept = near["far"].isin(reached) & (near["far"] != near["node"])
+    near, inward = near[kept], inward[kept]
+    arcs = pd.DataFrame({"src": near["far"].where(inward, near["node"]), "dst": near["node"].where(inward, near["far"]), "w": near["w"]})
+    return arcs.groupby(["src", "dst"], as_index=False, sort=False)["w"].max()
+
+
+def by_document(found: DataFrame, kb: KnowledgeBase, cfg: LinkConfig, one: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``one`` on the candidates and arcs of each document; a task holds one document at a time.
+
+    Over one hop the seeds' packed neighbour lists travel instead of the document's
+    arcs, and the document's graph is made where it is used.
+    """
+    if cfg.expand_level == 1:
+        seeds = found.select(F.col("doc_id").alias("__doc"), F.col("entity").alias("node")).distinct()
+        right = seeds.join(settle(graph.neighbour_lists(kb.edges, kb.degrees(), cfg.min_in_degree)), "node")
+    else:
+        right = settle(document_graph(found, kb, cfg)).withColumnRenamed("doc_id", "__doc")
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    target = to_arrow_schema(found.sparkSession.createDataFrame([], schema).schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0:
+            return target.empty_table()
+        if cfg.expand_level == 1:
+            lists = {x: right.column(x).combine_chunks() for x in ("far", "w", "kind")}
+            again = pc.list_parent_indices(lists["far"])
+            near = pd.DataFrame({"node": right.column("node").combine_chunks().take(again).to_pandas(), **{x: v.flatten().to_pandas() for x, v in lists.items()}})
+            arcs = arcs_of_lists(near, cfg.directed)
+        else:
+            arcs = right.select(["src", "dst", "w"]).to_pandas()
+        if not cfg.weighted and len(arcs):
+            arcs["w"] = 1.0
+        group = left.to_pandas()
+        return pa.Table.from_pandas(one(group, arcs).assign(doc_id=group["doc_id"].iloc[0])[names], schema=target, preserve_index=False)
+
+    return found.groupBy("doc_id").cogroup(right.groupBy("__doc")).applyInArrow(run, schema)
+
+
+def _result_schema(found: DataFrame, *more: str) -> str:
+    return ", ".join([f"{x} {found.schema[x].dataType.simpleString()}" for x in (*MENTION, "entity")] + list(more))
+
+
 def link_iteratively(found: DataFrame, kb: KnowledgeBase, cfg: LinkConfig) -> DataFrame:
     """Decide each document in order of ambiguity; one kernel call a document, which holds that document alone."""
-    arcs = settle(document_graph(found, kb, cfg))
-    kinds = {x: found.schema[x].dataType.simpleString() for x in (*MENTION, "entity")}
-
     ranker = models.linear_part(kb.ranker) if cfg.supervised else None
     nil = models.linear_part(kb.nil) if cfg.nil_prediction else None
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return decide(left, right, cfg, ranker, nil) if len(left) else pd.DataFrame({"doc_id": [], "mention_id": [], "entity": []})
-
-    schema = f"doc_id {kinds['doc_id']}, mention_id {kinds['mention_id']}, entity {kinds['entity']}"
     more = [x for x in ("name", "mention_weight") if x in found.columns]
-    return found.select(*MENTION, "entity", "prior", "context", *more).groupBy("doc_id").cogroup(arcs.groupBy("doc_id")).applyInPandas(run, schema)
+    rows = found.select(*MENTION, "entity", "prior", "context", *more)
+    return by_document(rows, kb, cfg, lambda group, arcs: decide(group, arcs, cfg, ranker, nil), _result_schema(found))
 
 
 def training_rows(raw: DataFrame, gold: DataFrame, mentions: DataFrame) -> DataFrame:

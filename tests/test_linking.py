@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -278,3 +279,24 @@ def test_iterative_linking_weighs_entities():
         out = linking.decide(group, arcs, LinkConfig(rank_scheme="SEMANTIC", entity_preference=kind))
         got[kind] = dict(zip(out["mention_id"], out["entity"], strict=True))[1]
     assert got == {"PRIOR_PROB": "x", "CTX_SIM": "y"}
+
+
+def test_documents_in_memory_equal_joins(spark):
+    """Walks of one document in memory give what the joins give, with loops, lonely seeds, weightless arcs and entities the graph lacks."""
+    rng = np.random.default_rng(7)
+    pairs = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, 20, 70), rng.integers(0, 20, 70), rng.integers(0, 4, 70), strict=True)]
+    edges = spark.createDataFrame(pairs, "src long, dst long, w long").groupBy("src", "dst").agg(F.sum("w").alias("w")).coalesce(1).cache()
+    rows = [(d, m, int(e), float(rng.random()), float(rng.random())) for d in range(2) for m in range(3) for e in rng.choice(22, 3, replace=False)]
+    found = spark.createDataFrame(rows, "doc_id long, mention_id int, entity long, prior double, context double").coalesce(1)
+    cfg = LinkConfig(directed=True, min_in_degree_directed=4)
+    base = linking.KnowledgeBase(found.select("entity"), edges)
+    lists = graph.neighbour_lists(edges, graph.degrees(edges), 4, chunk=5).toPandas()
+    unpacked = lists.explode(["far", "w", "kind"]).astype({"far": int, "w": float, "kind": int})
+    arcs = linking.document_graph(found, base, cfg).collect()
+    for doc in (0, 1):
+        got = linking.arcs_of_lists(unpacked[unpacked["node"].isin({x[2] for x in rows if x[0] == doc})].reset_index(drop=True), True)
+        assert {(x.src, x.dst, x.w) for x in arcs if x.doc_id == doc} == set(got.itertuples(index=False, name=None))
+    want = {x[:3]: x.semantic for x in linking.features_by_joins(found, base, cfg).collect()}
+    got = {x[:3]: x.semantic for x in linking.features(found, base, cfg).collect()}
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    assert all(abs(got[k] - want[k]) <= 1e-9 * max(1.0, abs(want[k])) for k in want)
