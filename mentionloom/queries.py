@@ -8,6 +8,7 @@ give links, documents terms.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -346,27 +347,27 @@ def name_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {PAIRS_SQL} SELECT x, y, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) AS similarity FROM pairs")
-def edit_similarity(spark, sf):
-    return name_pairs(spark, sf).withColumn("similarity", rounded(strsim.edit_similarity(F.col("x"), F.col("y"))))
+def edit_similarity(spark, sf, pairs=name_pairs):
+    return pairs(spark, sf).withColumn("similarity", rounded(strsim.edit_similarity(F.col("x"), F.col("y"))))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT x, y, round(jaro_winkler_similarity(x, y), 6) AS similarity FROM pairs")
-def jaro_winkler(spark, sf):
-    return name_pairs(spark, sf).withColumn("similarity", rounded(strsim.jaro_winkler("x", "y")))
+def jaro_winkler(spark, sf, pairs=name_pairs):
+    return pairs(spark, sf).withColumn("similarity", rounded(strsim.jaro_winkler("x", "y")))
 
 
 _GRAM_SQL = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i::INT, 2)))"
 
 
 @query(f"WITH {PAIRS_SQL}, g AS (SELECT x, y, {_GRAM_SQL.format('x')} AS a, {_GRAM_SQL.format('y')} AS b FROM pairs) SELECT x, y, round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) AS similarity FROM g")
-def dice_bigrams(spark, sf):
-    return name_pairs(spark, sf).withColumn("similarity", rounded(strsim.dice_bigrams(F.col("x"), F.col("y"))))
+def dice_bigrams(spark, sf, pairs=name_pairs):
+    return pairs(spark, sf).withColumn("similarity", rounded(strsim.dice_bigrams(F.col("x"), F.col("y"))))
 
 
 @query(f"""WITH {PAIRS_SQL}, s AS (SELECT x, y, unnest(range(1, length(x) + 1)) AS i FROM pairs), t AS (SELECT x, y, i, unnest(range(1, (length(x) - i + 2)::BIGINT)) AS n FROM s)
 SELECT x, y, coalesce(max(n) FILTER (contains(y, substr(x, i::INT, n::INT))), 0) AS length FROM t GROUP BY x, y""")
-def lcs_length(spark, sf):
-    return name_pairs(spark, sf).withColumn("length", strsim.common_substring("x", "y"))
+def lcs_length(spark, sf, pairs=name_pairs):
+    return pairs(spark, sf).withColumn("length", strsim.common_substring("x", "y"))
 
 
 def _edit_sql(a: str, b: str) -> str:
@@ -386,32 +387,57 @@ def abbrev_similarity(spark, sf):
 
 
 @query()
-def ngram_similarity(spark, sf):
-    return name_pairs(spark, sf).withColumn("similarity", rounded(strsim.ngram_similarity("x", "y")))
+def ngram_similarity(spark, sf, pairs=name_pairs):
+    return pairs(spark, sf).withColumn("similarity", rounded(strsim.ngram_similarity("x", "y")))
 
 
 @query()
-def monge_elkan(spark, sf):
-    return name_pairs(spark, sf).withColumn("similarity", rounded(strsim.monge_elkan("x", "y")))
+def monge_elkan(spark, sf, pairs=name_pairs):
+    return pairs(spark, sf).withColumn("similarity", rounded(strsim.monge_elkan("x", "y")))
 
 
 @query()
-def soft_tfidf(spark, sf):
-    return name_pairs(spark, sf).withColumn("similarity", rounded(strsim.soft_tfidf("x", "y")))
+def soft_tfidf(spark, sf, pairs=name_pairs):
+    return pairs(spark, sf).withColumn("similarity", rounded(strsim.soft_tfidf("x", "y")))
 
 
 @query(f"WITH {PAIRS_SQL}, t AS (SELECT DISTINCT split_part(x, ' ', 1) AS short, y AS long FROM pairs) SELECT short, long, length(long) > length(short) AND NOT contains(short, ' ') AND len(list_filter(string_split(long, ' '), lambda w: jaro_winkler_similarity(short, w) > 0.9)) > 0 AS matches FROM t")
-def match_longer_name(spark, sf):
-    rows = name_pairs(spark, sf).select(F.split_part("x", F.lit(" "), F.lit(1)).alias("short"), F.col("y").alias("long")).distinct()
+def match_longer_name(spark, sf, pairs=name_pairs):
+    rows = pairs(spark, sf).select(F.split_part("x", F.lit(" "), F.lit(1)).alias("short"), F.col("y").alias("long")).distinct()
     return rows.withColumn("matches", strsim.matches_longer_name(F.col("short"), F.col("long")))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT y AS long, last AS short, regexp_matches(lower(y), '\\b' || last || '$') AS ends FROM (SELECT y, lower(right(x, 4)) AS last FROM pairs WHERE regexp_matches(x, '[a-z]{{4}}$')) GROUP BY ALL")
-def ends_with_name(spark, sf):
-    rows = name_pairs(spark, sf).filter(F.col("x").rlike("[a-z]{4}$")).select(F.col("y").alias("long"), F.lower(F.right("x", F.lit(4))).alias("short")).distinct()
+def ends_with_name(spark, sf, pairs=name_pairs):
+    rows = pairs(spark, sf).filter(F.col("x").rlike("[a-z]{4}$")).select(F.col("y").alias("long"), F.lower(F.right("x", F.lit(4))).alias("short")).distinct()
     return rows.withColumn("ends", names.ends_with_name(F.col("long"), F.col("short")))
 
 
+# The same nine measures on every pair of names that share two letters in a row.
+
+SHARED_PAIRS_SQL = """grams AS (SELECT DISTINCT p_name, substr(p_name, i::INT, 2) AS g FROM (SELECT p_name, unnest(range(1, length(p_name))) AS i FROM (SELECT DISTINCT p_name FROM part))),
+pairs AS (SELECT DISTINCT a.p_name AS x, b.p_name AS y FROM grams a JOIN grams b ON a.g = b.g AND a.p_name < b.p_name)"""
+
+
+def shared_gram_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct part names with a 2-gram in common, x before y."""
+    one = table(spark, sf, "part").filter(F.length("p_name") > 1).select("p_name").distinct()
+    at = F.sequence(F.lit(1), F.length("p_name") - 1)
+    grams = one.select("p_name", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("p_name"), i, F.lit(2))))).alias("g"))
+    return grams.select("g", F.col("p_name").alias("x")).join(grams.select("g", F.col("p_name").alias("y")), "g").filter("x < y").select("x", "y").distinct()
+
+
+def _again(suffix: str, of: tuple[Query, ...], sql: tuple[str, str], **change) -> None:
+    """Register queries a second time, on other rows and with SQL on those."""
+    for one in of:
+        QUERIES[one.__name__ + suffix] = partial(one, **change)
+        if one.__name__ in ORACLES:
+            ORACLES[one.__name__ + suffix] = ORACLES[one.__name__].replace(*sql)
+
+
+_again("_shared_grams", (edit_similarity, jaro_winkler, dice_bigrams, lcs_length, ngram_similarity, monge_elkan, soft_tfidf, match_longer_name, ends_with_name), (PAIRS_SQL, SHARED_PAIRS_SQL), pairs=shared_gram_pairs)
+
+
 @query("SELECT name, kind, kind <> 'LOC' AND regexp_matches(name, '^[A-Za-z0-9][^ ]{1,9}$') AND length(regexp_replace(name, '[^A-Z]', '', 'g')) >= 2 AS abbreviation FROM (SELECT DISTINCT upper(left(p_name, 1 + p_partkey % 12)) AS name, CASE WHEN p_partkey % 3 = 0 THEN 'LOC' ELSE 'ORG' END AS kind FROM part)")
 def abbreviation_test(spark, sf):
     kind = F.when(F.col("p_partkey") % 3 == 0, "LOC").otherwise("ORG")
@@ -452,26 +478,45 @@ def nation_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {SQL_NATIONS}, o AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(w) AS w FROM e GROUP BY ALL) SELECT a AS src, b AS dst, w FROM o UNION ALL SELECT b, a, w FROM o WHERE a <> b")
-def undirected_max_merge(spark, sf):
-    return graph.undirected_max(nation_edges(spark, sf))
+def undirected_max_merge(spark, sf, edges=nation_edges):
+    return graph.undirected_max(edges(spark, sf))
 
 
 @query(f"WITH {SQL_NATIONS}, o AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(w)::BIGINT AS w FROM e GROUP BY ALL) SELECT a AS src, b AS dst, w FROM o UNION ALL SELECT b, a, w FROM o WHERE a <> b")
-def undirected_sum_merge(spark, sf):
-    return graph.undirected(nation_edges(spark, sf))
+def undirected_sum_merge(spark, sf, edges=nation_edges):
+    return graph.undirected(edges(spark, sf))
 
 
 @query(f"WITH {SQL_NATIONS} SELECT * FROM e WHERE src <> dst AND w <> 0")
-def self_loop_filter(spark, sf):
-    return graph.without_zero(graph.without_loops(nation_edges(spark, sf)))
+def self_loop_filter(spark, sf, edges=nation_edges):
+    return graph.without_zero(graph.without_loops(edges(spark, sf)))
 
 
 @query(f"WITH {SQL_NATIONS} SELECT src AS node, list_sort(list(DISTINCT dst))::VARCHAR AS neighbours FROM e GROUP BY src")
-def adjacency_sets(spark, sf):
-    out = graph.adjacency_sets(nation_edges(spark, sf))
+def adjacency_sets(spark, sf, edges=nation_edges):
+    out = graph.adjacency_sets(edges(spark, sf))
     return out.select("node", F.concat(F.lit("["), F.array_join("neighbours", ", "), F.lit("]")).alias("neighbours"))
 
 
+# The same four on the trade of all customers and suppliers.
+
+SQL_TRADE = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
+
+
+def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' nations to the nations of the suppliers they bought from, by line items; rows combine before each join."""
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("w"))
+    for other, key, left in (("orders", "o_orderkey", "l_orderkey"), ("customer", "c_custkey", "o_custkey")):
+        kept = {"orders": "o_custkey", "customer": "c_nationkey"}[other]
+        met = rows.join(table(spark, sf, other).select(key, kept), F.col(left) == F.col(key))
+        rows = met.groupBy(kept, "l_suppkey").agg(F.sum("w").alias("w"))
+    met = rows.join(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return met.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("w").alias("w"))
+
+
+_again("_trade", (undirected_max_merge, undirected_sum_merge, self_loop_filter, adjacency_sets), (SQL_NATIONS, SQL_TRADE), edges=trade_edges)
+
+
 @query(f"WITH {SQL_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS num_nodes, (SELECT count(*) FROM edges) AS num_arcs")
 def graph_size(spark, sf):
     return graph.graph_size(supply_edges(spark, sf))
