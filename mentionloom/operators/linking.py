@@ -246,19 +246,21 @@ def link_by_prior(mentions: DataFrame, priors: DataFrame) -> DataFrame:
 
 
 class Signatures:
-    """Walk vectors of one document: candidates (mention_id, entity, prior, context) and arcs (src, dst, w)."""
+    """Walk vectors of one document: candidates (mention_id, entity, prior, context) and arcs (src, dst, w).
 
-    def __init__(self, group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig, threshold: float) -> None:
+    ``seeds``: the entities whose closeness will be asked for.
+    """
+
+    def __init__(self, group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig, threshold: float, seeds: set) -> None:
         ends = pd.concat([group["entity"], arcs["src"], arcs["dst"]], ignore_index=True) if len(arcs) else group["entity"]
         codes, names = pd.factorize(ends, sort=True)
         self.place, self.n = {x: i for i, x in enumerate(names)}, len(names)
         k, m = len(group), len(arcs)
         self.arcs = (codes[k : k + m], codes[k + m :], arcs["w"].to_numpy(float)) if m else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         self.cfg, self.threshold = cfg, threshold
-        seeds = np.unique(codes[:k])
+        self.row = {x: i for i, x in enumerate(sorted(seeds))}
         unit = np.zeros((len(seeds), self.n))
-        unit[np.arange(len(seeds)), seeds] = 1
-        self.row = {names[x]: i for i, x in enumerate(seeds)}
+        unit[np.arange(len(seeds)), [self.place[x] for x in self.row]] = 1
         self.own = self._walk(unit)
         self.entropy = self.own * np.log2(np.where(self.own == 0, 1, self.own))
 
@@ -319,7 +321,7 @@ def _wanted(avoid: set, sure: dict, pool: dict) -> dict:
 def document_semantics(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig) -> pd.DataFrame:
     """The semantic feature of every candidate of one document, no decision changing the next: mention_id, entity, semantic."""
     _, _, sure, pool = _document_sets(group, cfg)
-    signatures = Signatures(group, arcs, cfg, 0.0)
+    signatures = Signatures(group, arcs, cfg, 0.0, set(group["entity"]))
     mentions = [(m, rows["entity"].tolist()) for m, rows in group.groupby("mention_id", sort=True)]
     whole = signatures.of_sets([_wanted(set(x), sure, pool) for _, x in mentions])
     parts = [pd.DataFrame({"mention_id": m, "entity": x, "semantic": signatures.closeness(x, q)}) for (m, x), q in zip(mentions, whole, strict=True)]
@@ -336,7 +338,7 @@ def decide(group: pd.DataFrame, arcs: pd.DataFrame, cfg: LinkConfig, ranker: tup
     """
     decided, open_, sure, pool = _document_sets(group, cfg)
     open_.sort(key=lambda x: (-len(x[1]) if cfg.order == "desc" else len(x[1]), x[0]))
-    signatures = Signatures(group, arcs, cfg, cfg.walk_threshold) if open_ else None
+    signatures = Signatures(group, arcs, cfg, cfg.walk_threshold, {x for _, rows in open_ for x in rows["entity"]}) if open_ else None
     for mention, rows in open_:
         whole = signatures.of_sets([_wanted(set(rows["entity"]), sure, pool)])[0]
         semantic = signatures.closeness(rows["entity"].tolist(), whole)
@@ -372,13 +374,25 @@ def arcs_of_lists(near: pd.DataFrame, directed: bool) -> pd.DataFrame:
 
     Gives what ``graph.expand`` over one hop and ``graph.subgraph`` give.
     """
-    inward, large = (near["kind"] & 2) > 0, (near["kind"] & 1) > 0
-    chosen = large | ~large.groupby([near["node"], inward]).transform("any")
-    reached = pd.concat([near["node"], near["far"][chosen & (inward | directed)]]).unique()
-    kept = near["far"].isin(reached) & (near["far"] != near["node"])
-    near, inward = near[kept], inward[kept]
-    arcs = pd.DataFrame({"src": near["far"].where(inward, near["node"]), "dst": near["node"].where(inward, near["far"]), "w": near["w"]})
-    return arcs.groupby(["src", "dst"], as_index=False, sort=False)["w"].max()
+    if near.empty:
+        return pd.DataFrame({"src": [], "dst": [], "w": []})
+    codes, names = pd.factorize(pd.concat([near["node"], near["far"]], ignore_index=True))
+    node, far, n = codes[: len(near)], codes[len(near) :], len(names)
+    kind, w = near["kind"].to_numpy(int), near["w"].to_numpy(float)
+    inward, large = (kind & 2) > 0, (kind & 1) > 0
+    served = np.zeros(2 * n, bool)
+    served[(2 * node + inward)[large]] = True
+    chosen = (large | ~served[2 * node + inward]) & (inward | directed)
+    reached = np.zeros(n, bool)
+    reached[node] = reached[far[chosen]] = True
+    kept = np.flatnonzero(reached[far] & (far != node))
+    # An arc between two seeds stands in both lists; its largest weight counts.
+    arc = np.where(inward, far * n + node, node * n + far)[kept]
+    order = np.argsort(arc, kind="stable")
+    arc, w = arc[order], w[kept][order]
+    starts = np.flatnonzero(np.r_[True, arc[1:] != arc[:-1]]) if len(arc) else np.zeros(0, int)
+    best = np.maximum.reduceat(w, starts) if len(arc) else w
+    return pd.DataFrame({"src": names[arc[starts] // n], "dst": names[arc[starts] % n], "w": best})
 
 
 def by_document(found: DataFrame, kb: KnowledgeBase, cfg: LinkConfig, one: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
