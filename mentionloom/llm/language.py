@@ -154,24 +154,27 @@ def language_report(docs: DataFrame, rules: ProfileRules = ProfileRules()) -> Da
 
 
 def language_filter(docs: DataFrame, rules: ProfileRules = ProfileRules(), least_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` with a language, and with a score of least_score at least; all their columns.
-
-    Learns from the rows with a lang that are not held out.  A null text, or one
-    without a letter, has no language and goes.  Where nothing could be learnt (no
-    row has a lang) every text with a letter stays: an unlabelled table is no
-    reason to reject.  Ties between languages change nothing here; repeated rows
-    are judged one by one; an empty table gives no rows.
+    """The rows of ``docs`` in a learnt language, and with a score of least_score at least; all their columns.
+
+    Learns from all rows with a lang: nothing is measured here, so none is held
+    out, and a language that few rows name is learnt too.  A null text, or one
+    without a letter, has no language and goes; so does one that shares no n-gram
+    with any profile (its score is 0), which no learnt language accounts for.
+    Where nothing could be learnt (no row has a lang) every text with a letter
+    stays: an unlabelled table is no reason to reject.  Ties between languages
+    change nothing here; repeated rows are judged one by one; an empty table gives
+    no rows.
     """
     own = docs.columns
-    profiles = learn_profiles(docs.filter(~held_out(F.col("doc_id"))), rules)
+    profiles = learn_profiles(docs, rules)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     column = own.index("text")
 
     def stays(text: str | None) -> bool:
         if not shared.value.languages:
             return bool(text) and len(_letters_of(text)) > 0
-        lang, score = classify(text, shared.value)
-        return lang != UNDETERMINED and score >= least_score
+        _, score = classify(text, shared.value)
+        return score > 0 and score >= least_score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

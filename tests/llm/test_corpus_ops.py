@@ -412,6 +412,19 @@ def test_language_filter_without_labels(spark, odd_docs):
         language.learn_profiles(many)
 
 
+def test_language_filter_rejects_what_no_profile_knows(spark):
+    """Prediction decides: a text in none of the learnt languages goes; a language that only a held-out row names is learnt."""
+    alone = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rows = [(i, "the cat and the dog of the house", "en") for i in range(8)]
+    rows += [(alone, "όλοι οι άνθρωποι", "el"), (10, "άνθρωποι", None), (11, "Все люди рождаются свободными", None), (12, "すべての人間", "en"), (13, "люди of the house", None)]
+    kept = language.language_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    # 12 is labelled en, but eight texts fill that profile first.
+    rules = language.ProfileRules(length=20)
+    short = language.language_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rules)
+    assert {x.doc_id for x in kept.collect()} == {*range(8), alone, 10, 12, 13}
+    assert {x.doc_id for x in short.collect()} == {*range(8), alone, 10, 13}
+
+
 # mixing
 
 
