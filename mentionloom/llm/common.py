@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -98,6 +99,23 @@ def give_back() -> None:
         pass
 
 
+def giving_back(run, encoders: bool = False):
+    """``run`` over a task's batches, and then give_back: only when it has ended does nothing hold its last batch.
+
+    encoders: tokenizers and their memos stay in the worker for the next task;
+    other tasks first let go what such a task has left.
+    """
+
+    def whole(batches):
+        tokens = sys.modules.get("mentionloom.llm.tokens")
+        if tokens and not encoders:
+            tokens.forget_encoders()
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def utf8_buffer(column):
     """The bytes of a string column laid end to end and where each row begins (nulls are empty)."""
     import numpy as np

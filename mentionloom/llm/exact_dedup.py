@@ -22,17 +22,16 @@ rows need no shuffle.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, fresh
+from .common import durable, fresh, giving_back
 
 BITS_PER_ROW = 16
 #: 64 MB of bits at most are broadcast.
@@ -40,19 +39,24 @@ MAX_BITS = 1 << 29
 #: Bits that one merge task holds.
 SEGMENT = 1 << 20
 HASHES = 2
+#: Texts that are lowered at once, beside a batch that is held anyway.
+ROWS_AT_ONCE = 64
 #: A digest is hot with more than one in so many of all repeats, so no more digests than this are.
 HOT_SHARE = 1000
 
 
-def _digests(column: pa.Array) -> list[bytes]:
-    lowered = pc.ascii_lower(pc.fill_null(column, "")).cast(pa.binary())
-    return [hashlib.sha256(x.as_buffer()).digest() for x in lowered]
+def _digests(column: pa.Array) -> pa.Array:
+    found: list[bytes] = []
+    for start in range(0, len(column), ROWS_AT_ONCE):
+        lowered = pc.ascii_lower(pc.fill_null(column.slice(start, ROWS_AT_ONCE), "")).cast(pa.binary())
+        found += [hashlib.sha256(x.as_buffer()).digest() for x in lowered]
+    return pa.array(found, pa.binary())
 
 
 @F.arrow_udf(T.BinaryType())
-def text_digest(text: pa.Array) -> pa.Array:
+def text_digest(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """SHA-256 of a text after lower-casing A to Z only; null counts as empty."""
-    return pa.array(_digests(text), pa.binary())
+    yield from giving_back(lambda batches: map(_digests, batches))(texts)
 
 
 def _positions(digests: pa.Array, bits: int) -> np.ndarray:
@@ -96,16 +100,16 @@ def repeat_plane(digests: DataFrame, rows: int, max_bits: int = MAX_BITS, least:
                 seen, held = [np.zeros(0, np.uint64)], 0
         yield flush()
 
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+    def merge(parts: pa.Table) -> pa.Table:
         once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-        for a, b in zip(parts.once, parts.twice, strict=True):
-            at = np.frombuffer(a, "<u4")
+        for a, b in zip(parts.column("once"), parts.column("twice"), strict=True):
+            at = np.frombuffer(a.as_buffer(), "<u4")
             twice[at[once[at]]] = True
             once[at] = True
-            twice[np.frombuffer(b, "<u4")] = True
-        return pd.DataFrame({"segment": [parts.segment.iloc[0]], "plane": [np.packbits(twice).tobytes()]})
+            twice[np.frombuffer(b.as_buffer(), "<u4")] = True
+        return pa.table({"segment": parts.column("segment").slice(0, 1), "plane": pa.array([np.packbits(twice).tobytes()], pa.binary())})
 
-    merged = digests.mapInArrow(mark, "segment long, once binary, twice binary").groupBy("segment").applyInPandas(merge, "segment long, plane binary")
+    merged = digests.mapInArrow(giving_back(mark), "segment long, once binary, twice binary").groupBy("segment").applyInArrow(merge, "segment long, plane binary")
     plane = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():
         at = row["segment"] * SEGMENT // 8
@@ -113,11 +117,10 @@ def repeat_plane(digests: DataFrame, rows: int, max_bits: int = MAX_BITS, least:
     return plane
 
 
-def flag_repeats(df: DataFrame, plane: np.ndarray, digest: str, flag: str) -> DataFrame:
-    """Add a boolean: false for rows whose digest certainly occurs once."""
+def _probe(df: DataFrame, plane: np.ndarray) -> Callable[[pa.Array], pa.Array]:
+    """Whether the plane has all positions of each digest."""
     shared = df.sparkSession.sparkContext.broadcast(plane)
 
-    @F.arrow_udf(T.BooleanType())
     def maybe(digests: pa.Array) -> pa.Array:
         bits = shared.value
         if not len(digests):
@@ -126,7 +129,28 @@ def flag_repeats(df: DataFrame, plane: np.ndarray, digest: str, flag: str) -> Da
         hit = (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1
         return pa.array(hit.all(axis=1))
 
-    return df.withColumn(flag, maybe(F.col(digest)))
+    return maybe
+
+
+def flag_repeats(df: DataFrame, plane: np.ndarray, digest: str, flag: str) -> DataFrame:
+    """Add a boolean: false for rows whose digest certainly occurs once."""
+    return df.withColumn(flag, F.arrow_udf(_probe(df, plane), T.BooleanType())(F.col(digest)))
+
+
+def _digest_in_plane(docs: DataFrame, plane: np.ndarray, digest: str) -> DataFrame:
+    """Add the digest of the text, null where the plane certainly lacks it: one pass through Python, not two in a row."""
+    maybe = _probe(docs, plane)
+
+    def found(text: pa.Array) -> pa.Array:
+        digests = _digests(text)
+        return pc.if_else(maybe(digests), digests, None)
+
+    @F.arrow_udf(T.BinaryType())
+    def in_plane(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from giving_back(lambda batches: map(found, batches))(texts)
+
+    # Said to be nondeterministic, as a filter on its result would otherwise move below it and hash every text again.
+    return docs.withColumn(digest, in_plane.asNondeterministic()(F.col("text")))
 
 
 def _hot(groups: DataFrame) -> DataFrame:
@@ -181,12 +205,12 @@ def exact_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     alarms = flag_repeats(thin, repeat_plane(thin.select(sha), thin.count(), max_bits), sha, again).filter(again)
     groups = _groups(alarms, "doc_id", sha)
     plane = repeat_plane(groups.select(sha), groups.count(), max_bits, least=1)
-    rows = flag_repeats(docs.select("*", digest), plane, sha, again)
-    alone = rows.filter(~F.col(again)).select(*own)
+    rows = _digest_in_plane(docs, plane, sha)
+    alone = rows.filter(F.col(sha).isNull()).select(*own)
     hot = durable(_hot(groups).select(sha, F.col("keep_id").alias(keep)))
     cold = groups.select(sha, F.col("keep_id").alias(keep)).join(F.broadcast(hot.select(sha)), sha, "left_anti")
     stays = F.col("doc_id").eqNullSafe(F.col(keep))
-    again_rows = rows.filter(again).drop(again)
+    again_rows = rows.filter(F.col(sha).isNotNull())
     hot_rows = again_rows.join(F.broadcast(hot), sha).filter(stays).dropDuplicates([sha])
     # A row that only raised a false alarm has no group: it stays, and no other row has its digest.
     met = fresh(own, "met")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, slices
+from .common import giving_back, slices
 
 UNDETERMINED = "und"
 #: Values of lang that can be learnt at most: this bounds what is gathered and broadcast (length entries each).
@@ -88,9 +88,8 @@ def learn_profiles(labelled: DataFrame, rules: ProfileRules = ProfileRules()) ->
                 for lang, keys in by_lang.items():
                     gram, times = np.unique(np.concatenate(keys), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(times.astype(np.int64))], ["lang", "gram", "times"])
-        give_back()
 
-    partial = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(count, "lang string, gram long, times long")
+    partial = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(giving_back(count), "lang string, gram long, times long")
     counts = partial.groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     order = Window.partitionBy("lang").orderBy(F.desc("times"), "gram")
     top = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rules.length).select("lang", "gram", "place").collect()
@@ -180,6 +179,5 @@ def language_filter(docs: DataFrame, rules: ProfileRules = ProfileRules(), least
         for batch in batches:
             for rows in slices(batch, own[column]):
                 yield rows.filter(pa.array([stays(x.as_py()) for x in rows.column(column)], pa.bool_()))
-        give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

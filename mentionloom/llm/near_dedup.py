@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, fresh, give_back, slices, utf8_buffer
+from .common import durable, fresh, giving_back, slices, utf8_buffer
 from .components import connected_components
 from .wordblock import WordBlock, mix
 
@@ -146,10 +146,9 @@ def _sketched(docs: DataFrame, rules: NearRules) -> DataFrame:
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     registers.append(sketch(own, rules.registers, rules.base).tobytes() if len(own) else None)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "n", "set", "registers"])
-        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, set binary, registers binary")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, n long, set binary, registers binary")
 
 
 def _sets(docs: DataFrame, rules: NearRules) -> DataFrame:
@@ -161,9 +160,8 @@ def _sets(docs: DataFrame, rules: NearRules) -> DataFrame:
                 block = WordBlock(*utf8_buffer(rows.column("text")), lower=True)
                 found = [x for x in shingle_sets(block, rules.shingle) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["set", "members"])
-        give_back()
 
-    return docs.select("text").mapInArrow(run, "set binary, members binary")
+    return docs.select("text").mapInArrow(giving_back(run), "set binary, members binary")
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[pa.RecordBatch]:
@@ -257,9 +255,8 @@ def _flagged(blocks: DataFrame, rules: NearRules, first_only: bool) -> DataFrame
             i, j, _ = _likely_pairs(rows, rules, first_only)
             if len(i):
                 yield from rows.take(pa.array(np.unique(np.concatenate([i, j])))).select(names).to_batches()
-        give_back()
 
-    return _in_blocks(blocks).mapInArrow(run, "bucket long, low int, high int, chunk int, band int, root binary, set binary")
+    return _in_blocks(blocks).mapInArrow(giving_back(run), "bucket long, low int, high int, chunk int, band int, root binary, set binary")
 
 
 def _links(blocks: DataFrame, rules: NearRules, first_only: bool) -> DataFrame:
@@ -293,9 +290,8 @@ def _links(blocks: DataFrame, rules: NearRules, first_only: bool) -> DataFrame:
                     out[0].append(digests[a])
                     out[1].append(digests[b])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["u", "v"])
-        give_back()
 
-    return _in_blocks(blocks).mapInArrow(run, "u binary, v binary")
+    return _in_blocks(blocks).mapInArrow(giving_back(run), "u binary, v binary")
 
 
 def _verified(blocks: DataFrame, classes: DataFrame, docs: DataFrame, rules: NearRules, first_only: bool = True) -> DataFrame:
@@ -406,9 +402,8 @@ def _with_digests(docs: DataFrame, rules: NearRules, digest: str) -> DataFrame:
                 block = WordBlock(*utf8_buffer(rows.column("text")), lower=True)
                 digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in shingle_sets(block, rules.shingle)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(digests, pa.binary())], [*own, digest])
-        give_back()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())]))
+    return docs.mapInArrow(giving_back(run), T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())]))
 
 
 def near_dedup(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:

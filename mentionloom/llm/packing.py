@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import give_back, slices
+from .common import giving_back, slices
 from .tokens import encoder, vocabulary
 
 WINDOW = 2048
@@ -134,6 +134,5 @@ def pack(docs: DataFrame, path: str | None = None, end: int = END, window: int =
                 yield drain()
         packer.finish()
         yield drain()
-        give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run, encoders=True), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -259,6 +259,10 @@ def encoder(path: str, spaced: bool, width: int = 4, memo: int = 1_000_000) -> P
     return _encoders[key]
 
 
+def forget_encoders() -> None:
+    _encoders.clear()
+
+
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file lies on this machine."""
     import public_tokenizers

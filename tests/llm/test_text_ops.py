@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,6 +89,34 @@ def test_saturated_filter_changes_nothing(odd_docs):
     assert all(x.f for x in again.collect())
 
 
+def test_exact_dedup_hashes_a_text_once_a_branch(spark, sf_dir):
+    """No Python step follows another in a task: each would hold a worker of its own, with its memory."""
+    rows = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3
+
+
+def test_workers_give_back_when_nothing_holds_the_batch(monkeypatch):
+    from mentionloom.llm import common, tokens
+
+    batch = pa.record_batch({"text": ["x"]})
+    seen = weakref.ref(batch)
+    held = [batch]
+    del batch
+    monkeypatch.setattr(common, "give_back", lambda: held.append(seen() is None))
+
+    def run(batches):
+        for x in batches:
+            yield x.num_rows
+
+    left = {"left": None}
+    monkeypatch.setattr(tokens, "_encoders", left)
+    assert list(common.giving_back(run, encoders=True)(iter([]))) == [] and left
+    held.pop()
+    assert list(common.giving_back(run)(held.pop() for _ in range(1))) == [1]
+    assert held == [True] and not left
+
+
 # tokens and packing
 
 SAMPLES = ["don't stop it's  the \n\n end  ", "a  b   c\t\td\n e \n f", "x<|endoftext|>y <|startoftext|>", "naïve café œ　日本語 m² 3² 3rd 'tis ''s a'b", "x\x1cy\x85z​q", "É́ À ſ İ ΑΣ Σ ß", "'''s 'S don'T 1'2s", "  x  y", "�😀 😀'd a\x00b", "", "a <|endoftext|> B<|endoftext|><|ENDOFTEXT|> c <|startoftext|>d", "J\u030c E\u0301x “Don’t” go—Now × 3÷4 ÉCOLE", "x" * 300 + " " + "y" * 300, "\n \n", " ", "\n\nA  B\tC \t D\r\n"]
