@@ -80,10 +80,14 @@ def part_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"))
 
 
+def supply_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """src (supplier), dst (part, after all suppliers) of every line item."""
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
+
+
 def supply_edges(spark: SparkSession, sf: str) -> DataFrame:
     """src (supplier), dst (part, after all suppliers), w: line items of both."""
-    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
-    return kb.count_edges(rows)
+    return kb.count_edges(supply_lines(spark, sf))
 
 
 SQL_EDGES = "edges AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, count(*) AS w FROM lineitem GROUP BY ALL)"
@@ -583,9 +587,9 @@ SELECT a, b, round(CASE WHEN c IS NULL OR d IS NULL OR d < 0 OR d >= 1 THEN 0 EL
 
 
 def _related(spark: SparkSession, sf: str, mode: str, weighted: bool, total: int) -> DataFrame:
-    edges = supply_edges(spark, sf)
+    lines = supply_lines(spark, sf).withColumn("w", F.lit(1))
     some = suppliers(spark, sf).withColumnRenamed("nation", "group")
-    out = relatedness.score_pairs(relatedness.pairwise(some), relatedness.neighbourhood(edges, mode), total, weighted)
+    out = relatedness.score_groups(some, lines, total, mode, weighted)
     return out.withColumn("relatedness", rounded("relatedness"))
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mentionloom import queries
 from mentionloom.operators import graph, kb, relatedness, vectors, walks
 from mentionloom.plans import build
 from mentionloom.sources import tables, xml
@@ -168,3 +171,23 @@ def test_streamed_edges_equal_batch(spark, tmp_path):
     query.awaitTermination(60)
     got = spark.read.parquet(f"{tmp_path}/out").select("src", "dst", "w")
     assert rows(got) == [("A", "B", 2), ("A", "C", 1), ("B", "A", 1)]
+
+
+@pytest.mark.parametrize("mode", ["in", "out", "both"])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_relatedness_of_groups_equals_pairs(spark, mode, weighted):
+    """Over cells of one and of many members, with arcs in several rows, members without arcs and a group of one."""
+    rng = random.Random(7)
+    arcs = spark.createDataFrame([(rng.randrange(30), rng.randrange(30), rng.randrange(1, 4)) for _ in range(150)], "src long, dst long, w long")
+    some = spark.createDataFrame([(i % 3, i) for i in range(34)] + [(9, 99)], "group int, node long")
+    near = relatedness.neighbourhood(arcs, mode)
+    want = {(x.a, x.b): x.relatedness for x in relatedness.score_pairs(relatedness.pairwise(some), near, 100, weighted).collect()}
+    for cells in (1, 40, 1 << 20):
+        got = relatedness.score_groups(some, arcs, 100, mode, weighted, cells).collect()
+        assert len(got) == len(want) and {(x.a, x.b): x.relatedness for x in got} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("name", ["relatedness_union"])
+def test_no_pair_of_relatedness_is_shuffled_that_shares_nothing(spark, sf_dir, name):
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(a#\d+L?, b#", plan)
