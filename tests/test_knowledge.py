@@ -187,7 +187,7 @@ def test_relatedness_of_groups_equals_pairs(spark, mode, weighted):
         assert len(got) == len(want) and {(x.a, x.b): x.relatedness for x in got} == pytest.approx(want)
 
 
-@pytest.mark.parametrize("name", ["relatedness_union", "relatedness_unweighted", "relatedness_union_weighted"])
+@pytest.mark.parametrize("name", ["relatedness_union", "relatedness_unweighted", "relatedness_union_weighted", "relatedness_weighted"])
 def test_no_pair_of_relatedness_is_shuffled_that_shares_nothing(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(a#\d+L?, b#", plan)
