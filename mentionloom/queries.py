@@ -828,41 +828,41 @@ def type_vote(spark, sf):
     return annotate.type_vote(rows, "turn")
 
 
-def page_mentions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def page_mentions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    words = annotate.tokens(docs)
-    return docs, words, annotate.mentions_of(words, annotate.merge_runs(annotate.capital_labels(words)))
+    return docs, annotate.capital_mentions(docs)
 
 
 @query()
 def annotated_mentions(spark, sf):
-    return page_mentions(spark, sf)[2]
+    return page_mentions(spark, sf)[1]
 
 
 @query()
 def aligned_annotations(spark, sf):
-    docs, words, found = page_mentions(spark, sf)
-    gold = found.select("doc_id", F.col("b").cast("long").alias("mention_id"), F.element_at(F.split("name", " "), 1).alias("name"), F.col("b").alias("offset"))
-    return annotate.align(gold.dropDuplicates(["doc_id", "mention_id"]), found, words).select("doc_id", "mention_id", "sent_no", "start_tok", "end_tok")
+    docs, found = page_mentions(spark, sf)
+    found = settle(found)
+    gold = found.select("doc_id", F.col("b").cast("long").alias("mention_id"), F.element_at(F.split("name", " "), 1).alias("name"), F.col("b").alias("offset")).dropDuplicates(["doc_id", "mention_id"])
+    return annotate.align(gold, found, settle(annotate.tokens_at(docs, gold))).select("doc_id", "mention_id", "sent_no", "start_tok", "end_tok")
 
 
 @query()
 def coreference_chains(spark, sf):
-    found = page_mentions(spark, sf)[2]
+    found = page_mentions(spark, sf)[1]
     named = found.select("doc_id", F.col("b").cast("long").alias("mention_id"), "name", "ner_type")
     return coref.resolve_chains(named).select("doc_id", "mention_id", "name", "canonical_name")
 
 
 @query()
 def resolved_persons(spark, sf):
-    found = page_mentions(spark, sf)[2]
+    found = page_mentions(spark, sf)[1]
     named = found.select("doc_id", F.col("b").cast("long").alias("mention_id"), "name", F.lit("PER").alias("ner_type"))
     return coref.resolve_persons(named).select("doc_id", "mention_id", "name", "canonical_name")
 
 
 @query()
 def name_alternatives(spark, sf):
-    found = page_mentions(spark, sf)[2]
+    found = page_mentions(spark, sf)[1]
     named = found.select("doc_id", F.col("b").cast("long").alias("mention_id"), "name", "ner_type")
     return expansion.name_alternatives(named).select("doc_id", "mention_id", F.array_join("alternatives", "|").alias("alternatives"))
 

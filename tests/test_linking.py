@@ -80,6 +80,27 @@ def test_tokens_and_alignment(spark):
     assert [x.offset for x in absent.collect()] == [None]
 
 
+TEXTS = ["We saw John Smith there. He met Mary-Ann O'Neil\nin old Rome.", "", None, " \t\n", "A b. C D! \x0b E F? G\u00a0H I\u2028J K.\n\nL \u00c9a \U0001d538b \U0001f600 Mo No", "x Ab Cd. . Ef Gh", "the End", "...  \n. Z'a Z'b", "a \u01c5e \u0130i A' B- C1 D"]
+
+
+def test_capital_mentions_equal_token_rows(spark):
+    """The kernel over a document's parts gives what windows and joins over token rows give, and so do its tokens in an alignment."""
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice(list("aB\u00e9\u00c9 \n.!'-1\u3000\U0001d538"), 60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(TEXTS + made)), "doc_id long, text string").repartition(3)
+    words = annotate.tokens(docs)
+    slow = annotate.mentions_of(words, annotate.merge_runs(annotate.capital_labels(words)))
+    fast = annotate.capital_mentions(docs)
+    assert fast.dtypes == slow.dtypes and rows(fast) == rows(slow) and fast.count() > 40
+    gold = spark.createDataFrame([(d, i, str(x[i : i + n]), i) for d, x in enumerate(TEXTS + made) if x for i in range(0, len(x), 2) for n in (1, 4)], "doc_id long, mention_id long, name string, offset int").dropDuplicates(["doc_id", "mention_id"])
+    assert rows(annotate.align(gold, fast, annotate.tokens_at(docs, gold))) == rows(annotate.align(gold, slow, words))
+
+
+def test_aligned_annotations_make_no_row_of_every_token(spark, sf_dir):
+    plan = queries.QUERIES["aligned_annotations"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "Window" not in plan
+
+
 def test_abbreviation_definitions(spark):
     text = "The World Health Organization (WHO) met. EU (European Union) said no. Later the Big Old Company spoke; BOC agreed."
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
