@@ -191,3 +191,21 @@ def test_relatedness_of_groups_equals_pairs(spark, mode, weighted):
 def test_no_pair_of_relatedness_is_shuffled_that_shares_nothing(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(a#\d+L?, b#", plan)
+
+
+@pytest.mark.parametrize("block, most", [(2, 1 << 23), (256, 1 << 23), (5, 60)])
+def test_walks_in_blocks_equal_walks_by_joins(spark, block, most):
+    """With sinks, zero weights, a seed off the graph, weighed seeds, and blocks of which some are too large."""
+    rng = random.Random(3)
+    arcs = spark.createDataFrame([(f"n{rng.randrange(25)}", f"n{rng.randrange(30)}", rng.randrange(0, 4)) for _ in range(60)], "src string, dst string, w long")
+    seeds = spark.createDataFrame([(i % 11, f"n{i}", float(i % 3)) for i in range(33)] + [(50, "off", 1.0)], "seed int, node string, weight double")
+    start = walks.weighted_preference(seeds, ["seed"])
+    want = {(x.seed, x.node): x.p for x in walks.walk(arcs, start, walker=["seed"]).collect()}
+    got = walks.walk_in_blocks(arcs, start, walker=["seed"], block=block, most=most).collect()
+    assert len(got) == len(want) and {(x.seed, x.node): x.p for x in got} == pytest.approx(want)
+
+
+def test_walks_of_seeds_shuffle_no_vectors(spark, sf_dir):
+    """The rows of the walk are the last thing made, from blocks of seeds and arcs."""
+    plan = queries.QUERIES["ppr_per_seed"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Aggregate" not in plan
