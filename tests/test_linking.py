@@ -321,3 +321,34 @@ def test_documents_in_memory_equal_joins(spark):
     got = {x[:3]: x.semantic for x in linking.features(found, base, cfg).collect()}
     assert got.keys() == want.keys() and len(got) == len(rows)
     assert all(abs(got[k] - want[k]) <= 1e-9 * max(1.0, abs(want[k])) for k in want)
+
+
+@pytest.mark.parametrize("iterative", [True, False])
+def test_linking_by_alias_equals_linking_by_mention(spark, iterative):
+    """Ambiguous, unknown, sure and unconnected names over few large blocks, some documents by joins, against candidates selected for each mention."""
+    rng = np.random.default_rng(11)
+    known = spark.createDataFrame([(f"n{i % 7}", i, "link" if i % 3 else "name", 0.001 * (1 + i * 7 % 13)) for i in range(60)] + [("one", 99, "link", 1.0)], "alias_lc string, entity long, source string, prior double")
+    arcs = spark.createDataFrame([(int(a), int(b), 1 + int(a) % 3) for a, b in rng.integers(0, 55, (150, 2))], "src long, dst long, w int")
+    base = linking.KnowledgeBase(known, graph.undirected(arcs))
+    table = spark.createDataFrame([(d, m, ["one", "unknown"][m % 2] if rng.random() < 0.2 else f" N{rng.integers(0, 7)}") for d in range(12) for m in range(1 + d)], "doc_id long, mention_id long, name string")
+    for options in ({"rank_scheme": "LINEAR"}, {"rank_scheme": "SEMANTIC", "selection": "source", "use_unambiguous": False, "weighted": False}):
+        cfg = LinkConfig(use_iterative=iterative, min_in_degree_undirected=3, **options)
+        got = rows(linking.link_by_alias(table, base, cfg, kernel_rows=30, docs=5))
+        found = linking.settle(linking.select_candidates(table, base, cfg))
+        if iterative:
+            best = linking.link_iteratively(found, base, cfg)
+        else:
+            best = linking.winners(linking.rank(linking.normalized(linking.features(linking.settle(candidates.keep_agreed(found, linking.unambiguous(found))), base, cfg)), cfg))
+        want = rows(table.select("doc_id", "mention_id").join(best.select("doc_id", "mention_id", "entity"), ["doc_id", "mention_id"], "left"))
+        assert got == want and len(got) == 78 and any(x[2] is None for x in got)
+
+
+@pytest.mark.parametrize("name", ["non_iterative_linking"])
+def test_linking_does_not_write_candidates_of_every_mention(spark, sf_dir, monkeypatch, name):
+    """What is written to the checkpoint folder has at most a row a mention or arc; candidates were some five a mention."""
+    written = []
+    monkeypatch.setattr(linking, "settle", lambda df, f=linking.settle: written.append(f(df)) or written[-1])
+    mentions, base = queries.linking_setup(spark, sf_dir)
+    linking.link(mentions.select("doc_id", "mention_id", "name"), base, LinkConfig(use_iterative=name == "iterative_linking", min_in_degree_undirected=3, rank_scheme="LINEAR"))
+    n = mentions.count()
+    assert written and all(x.count() <= n for x in written if {"doc_id", "entity"} <= set(x.columns))
