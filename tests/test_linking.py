@@ -343,7 +343,7 @@ def test_linking_by_alias_equals_linking_by_mention(spark, iterative):
         assert got == want and len(got) == 78 and any(x[2] is None for x in got)
 
 
-@pytest.mark.parametrize("name", ["non_iterative_linking"])
+@pytest.mark.parametrize("name", ["non_iterative_linking", "iterative_linking"])
 def test_linking_does_not_write_candidates_of_every_mention(spark, sf_dir, monkeypatch, name):
     """What is written to the checkpoint folder has at most a row a mention or arc; candidates were some five a mention."""
     written = []
