@@ -352,3 +352,35 @@ def test_linking_does_not_write_candidates_of_every_mention(spark, sf_dir, monke
     linking.link(mentions.select("doc_id", "mention_id", "name"), base, LinkConfig(use_iterative=name == "iterative_linking", min_in_degree_undirected=3, rank_scheme="LINEAR"))
     n = mentions.count()
     assert written and all(x.count() <= n for x in written if {"doc_id", "entity"} <= set(x.columns))
+
+
+@pytest.mark.parametrize("name", ["non_iterative_linking", "iterative_linking"])
+def test_linking_writes_an_edge_once_and_moves_mentions_once(spark, sf_dir, monkeypatch, name):
+    """Edges were written in both directions; mentions, candidates, lists and results were all shuffled."""
+    written, settle = [], linking.settle
+    for module in (linking, queries):
+        monkeypatch.setattr(module, "settle", lambda df: written.append(settle(df)) or written[-1])
+    out = queries.QUERIES[name](spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().toPandas()
+    pairs = {(a, b) for _, own in lines.groupby("l_orderkey")["l_partkey"] for a in own for b in own if a < b}
+    assert sum(x.count() for x in written if {"src", "dst"} <= set(x.columns)) == len(pairs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "CoGroups" not in plan
+
+
+@pytest.mark.parametrize("iterative", [True, False])
+def test_neighbour_lists_sent_to_all_or_dealt_to_blocks_link_alike(spark, iterative):
+    """Every mention comes out once, also without a candidate, in a block without any, and without a document."""
+    rng = np.random.default_rng(5)
+    known = spark.createDataFrame([(f"n{i % 5}", i, "link" if i % 3 else "name", 0.01 * (1 + i * 7 % 13)) for i in range(40)], "alias_lc string, entity long, source string, prior double")
+    arcs = spark.createDataFrame([(int(a), int(b), 1 + int(a) % 3) for a, b in rng.integers(0, 38, (120, 2))], "src long, dst long, w int")
+    base = linking.KnowledgeBase(known, graph.undirected(arcs))
+    data = [(d, m, "unknown" if d > 8 or m == 3 else f"n{rng.integers(0, 5)}") for d in range(12) for m in range(5)] + [(None, 1, "n1"), (20, None, "n2"), (20, 1, "n2")]
+    table = spark.createDataFrame(data, "doc_id long, mention_id long, name string")
+    cfg = LinkConfig(use_iterative=iterative, min_in_degree_undirected=3, rank_scheme="LINEAR")
+    sent = rows(linking.link_by_alias(table, base, cfg, docs=1))
+    for more in ({"sent": 0}, {"sent": 0, "arcs": 40}):
+        assert rows(linking.link_by_alias(table, base, cfg, docs=1, **more)) == sent
+    assert {x[:2] for x in sent} == {x[:2] for x in data} and len(sent) == len(data)
+    unlinked = {x[:2] for x in data if x[2] == "unknown" or None in x[:2]}
+    assert {x[:2] for x in sent if x[2] is None} == unlinked
