@@ -384,3 +384,26 @@ def test_neighbour_lists_sent_to_all_or_dealt_to_blocks_link_alike(spark, iterat
     assert {x[:2] for x in sent} == {x[:2] for x in data} and len(sent) == len(data)
     unlinked = {x[:2] for x in data if x[2] == "unknown" or None in x[:2]}
     assert {x[:2] for x in sent if x[2] is None} == unlinked
+
+
+@pytest.mark.parametrize("name", ["non_iterative_linking", "iterative_linking"])
+def test_linking_sorts_mentions_without_candidates(spark, sf_dir, name):
+    """Each mention was joined to all of its candidates before blocks were sorted."""
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__alias#" in plan and "prior#" not in plan
+
+
+@pytest.mark.parametrize("iterative", [True, False])
+def test_candidates_sent_or_joined_link_alike(spark, iterative):
+    """Over few and many candidates, lists sent and dealt, weighed mentions and entities with names."""
+    rng = np.random.default_rng(9)
+    known = spark.createDataFrame([(f"n{i % 5}", f"e{i}", "link" if i % 3 else "name", 0.01 * (1 + i * 7 % 13)) for i in range(40)], "alias_lc string, entity string, source string, prior double")
+    arcs = spark.createDataFrame([(f"e{a}", f"e{b}", 1 + int(a) % 3) for a, b in rng.integers(0, 38, (120, 2))], "src string, dst string, w int")
+    base = linking.KnowledgeBase(known, graph.undirected(arcs))
+    data = [(d, m, "unknown" if d > 6 or m == 3 else f"n{rng.integers(0, 5)}", float(1 + m)) for d in range(9) for m in range(5)]
+    table = spark.createDataFrame(data, "doc_id long, mention_id long, name string, weight double")
+    cfg = LinkConfig(use_iterative=iterative, min_in_degree_undirected=3, rank_scheme="LINEAR", mention_preference="TFIDF")
+    want = rows(linking.link_by_alias(table, base, cfg, docs=3, few_options=0))
+    for more in ({}, {"sent": 0}):
+        assert rows(linking.link_by_alias(table, base, cfg, docs=3, **more)) == want
+    assert len(want) == len(data) and any(x[2] for x in want)
